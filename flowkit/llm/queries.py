@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, substring
-from .common import table
+from . import bpe, decontam, html, jaccard, media, pii, quality, substring, toxicity, urls
+from .common import fold, table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
+#: (verdict, host, path)
+URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
 def tokenizer() -> tuple[str, str]:
@@ -20,11 +22,85 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The secret of the pseudonyms: a setting, so that it is in no code."""
+    return spark.conf.get("spark.flowkit.pii.key", "no key was set")
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labels outside one fold of three."""
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), fold("doc_id", 3) == 1
+    model = quality.fitted(docs, table(spark, sf_dir, "labels"), ~held_out)
+    out = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), quality.score(model)("text").alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms for its personal data."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", pii.pseudonymise(pii_key(spark))("text").alias("p")).select("doc_id", "p.text", "p.n_replaced")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingle sets are 85 % alike."""
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts stored as MPEG audio frames, read back, with digests and features."""
+    text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    size = F.octet_length("text")
+    padding = F.when(size == 0, 64).otherwise(F.pmod(-size, F.lit(64)))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
+    stored = docs.select("doc_id", size.cast("long").alias("n_bytes"), media.store()(F.concat("text", F.unhex(F.repeat(F.lit("00"), padding.cast("int"))))).alias("media"))
+    back = stored.withColumn("m", media.read()("media"))
+    payload = F.col("m.payload")
+    facts = {"layer": "layer", "rate": "sample_rate", "samples": "samples", "table": "vbr_frames", "checked": "crc_checked", "failed": "crc_failed", "skipped": "skipped"}
+    feature = F.concat_ws(";", *(F.concat(F.lit(f"{k}="), F.col(f"m.{v}").cast("string")) for k, v in facts.items()), F.concat(F.lit("frames="), F.size("m.offsets").cast("string")), F.concat(F.lit("last="), F.element_at("m.offsets", -1).cast("string")))
+    return back.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length(payload).cast("long").alias("payload_bytes"),
+        F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        feature.alias("feature"),
+        (F.col("m.samples") / F.col("m.sample_rate")).alias("duration_s"),
+        F.size("m.offsets").alias("n_frames"),
+    )
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from labels outside one fold of five."""
+    docs, held_out = table(spark, sf_dir, "documents").select("doc_id", "text"), fold("doc_id", 5) == 0
+    net = toxicity.fitted(docs, table(spark, sf_dir, "labels"), ~held_out)
+    out = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), toxicity.score(net)("text").alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test item found in a document, with its edit distance there."""
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return docs.select("doc_id", F.explode(decontam.found_in(F.col("text"), benchmark)).alias("m")).select("doc_id", "m.item_id", "m.distance", "m.stop")
+
+
+def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, bad): the labels of the document of that number; bad if it is toxic or of low quality."""
+    bad = F.greatest(F.coalesce("toxic", F.lit(0)), 1 - F.coalesce("quality", F.lit(1)))
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.cast("int").alias("bad"))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page by rules and by the reputation of its host."""
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), page_outcomes(spark, sf_dir), URL_RULES)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left when passages of 50 words that a smaller document has are cut."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -43,7 +119,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op2_pii": op2_pii,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_media": op4_media,
+    "op5_html": op5_html,
+    "op6_toxicity": op6_toxicity,
+    "op7_decontamination": op7_decontamination,
+    "op8_url_filters": op8_url_filters,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_bpe": op10_bpe,
 }
