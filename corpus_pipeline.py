@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowkit.llm import bpe, decontam, jaccard, pii, toxicity
-from flowkit.llm.common import fold, free_name, small_keys, table, written
+from flowkit.llm.common import bounded_batches, fold, free_name, small_keys, table, written
 from flowkit.llm.queries import pii_key, tokenizer
 
 #: Stages that SQL cannot state are tested against brute force.
@@ -21,6 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of five-word shingle sets 80 % alike."""
+    bounded_batches(spark)
     found = jaccard.jaccard_components(docs, n=5, num=80, den=100)
     others = written(found.filter("component_id <> doc_id").select("doc_id").distinct(), "others")
     return docs.join(small_keys(others), "doc_id", "left_anti").select(*docs.columns)
@@ -33,6 +34,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with pseudonyms for personal data; n_chars follows the new text."""
+    bounded_batches(spark)
     new = free_name(docs, "new")
     docs = docs.withColumn(new, pii.pseudonymise(pii_key(spark))("text"))
     docs = docs.withColumn("text", F.col(f"{new}.text")).drop(new)
@@ -41,6 +43,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text that decoding them gives."""
+    bounded_batches(spark)
     path, pattern = tokenizer()
     ids = docs.select("doc_id", "lang", "source", bpe.encode(path, pattern)("text").alias("e")).select("doc_id", "lang", "source", "e.*")
     return ids.withColumn("text", F.decode(bpe.decode(path, pattern)("ids"), F.lit("UTF-8")))
