@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: Most edges of which the least neighbours are broadcast: some 16 MB.
+FEW_EDGES = 250_000
+
+
+def _state(edges: DataFrame) -> tuple:
+    """Count and checksum of an edge set."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b: long) -> (node, component): the smallest node reachable.
@@ -17,17 +25,19 @@ def components(edges: DataFrame) -> DataFrame:
     node of any degree is handled by min(), never by a list of its neighbours.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a is not null and a <> b").distinct()
-    edges, before = written(edges, "edges"), None
-    while True:
+    edges = written(edges, "edges")
+    before = _state(edges)
+    while before[0]:
+        # least neighbours are no more than twice the edges: broadcast while those are few
+        hinted = F.broadcast if before[0] <= FEW_EDGES else lambda df: df
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.filter("a <> b").distinct()
+        large = both.join(hinted(least), "a").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        small = large.join(hinted(down), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down)
         edges = written(small.filter("a <> b").distinct(), "edges")
-        after = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if after == before or not after[0]:
+        after = _state(edges)
+        if after == before:
             break
         before = after
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -12,11 +12,15 @@ are signed again over a second, independent cut, and only sets that fail both
 cuts emit signatures for their empty ranges. No linked pair is lost.
 
 Equal sets are one class and are compared once. Rows of one signature are met
-in sorted order and stream through with constant memory: a row is paired with
-the NEAR rows before it and with the first of its group. That is every pair of
-a group of up to NEAR + 1. Larger groups are written down; those that links
-have not joined to one component are completed by comparing, in blocks of
-PIVOTS members at a time, the members of different components.
+in sorted order and stream through with constant memory. In a group of up to
+NEAR + 1 every pair is a candidate; in a larger one each row is paired with the
+first and with the one before it, which joins most true groups to components.
+Groups that are then still of several components are compared completely, but
+on parity sketches: bit i of a sketch tells whether range i of the domain holds
+an odd number of elements, so two sets differ in no fewer elements than their
+sketches differ in bits. Only pairs of different components that this bound
+admits become candidates. A task holds the sketches of at most 2 * BLOCK
+members of a group; groups beyond BLOCK are compared block against block.
 """
 
 from __future__ import annotations
@@ -35,8 +39,8 @@ from .common import small_keys, written
 from .components import components
 from .words import U64, mix, shingle_sets, signed
 
-NEAR = 16
-PIVOTS = 64
+NEAR = 4
+BLOCK = 1 << 14
 _SECOND_CUT = U64(0x5851F42D4C957F2D)
 
 
@@ -110,29 +114,102 @@ def set_keys(n: int):
     return keys
 
 
-def shingle_bytes(n: int):
-    """Column function: text -> its shingle set as sorted little-endian 64-bit hashes."""
+def sketch(u: np.ndarray) -> np.ndarray:
+    """Parity sketch of a set: a power of two of bits, 256 or more and at least one per element."""
+    bits = max(256, 1 << (len(u) - 1).bit_length())
+    return np.packbits(np.bincount((u % U64(bits)).astype(np.int64), minlength=bits) % 2 == 1, bitorder="little")
 
-    @F.arrow_udf("binary")
-    def sets(texts: pa.Array) -> pa.Array:
-        return pa.array([u.tobytes() for u in shingle_sets(texts, n)], pa.binary())
 
-    return sets
+def _folded(x: np.ndarray, size: int) -> np.ndarray:
+    while len(x) > size:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def set_facts(n: int):
+    """Column function: text -> struct<set: shingle hashes, sorted, 8 bytes each; size; sketch>."""
+
+    @F.arrow_udf("struct<set:binary,size:long,sketch:binary>")
+    def facts(texts: pa.Array) -> pa.Array:
+        sets = list(shingle_sets(texts, n))
+        return pa.StructArray.from_arrays(
+            [pa.array([u.tobytes() for u in sets], pa.binary()), pa.array([len(u) for u in sets], pa.int64()), pa.array([sketch(u).tobytes() for u in sets], pa.binary())], ["set", "size", "sketch"]
+        )
+
+    return facts
+
+
+def plausible(num: int, den: int):
+    """Column function: (size, sketch, size, sketch) -> whether the bounds admit a link."""
+
+    @F.arrow_udf("boolean")
+    def plausible(n1: pa.Array, s1: pa.Array, n2: pa.Array, s2: pa.Array) -> pa.Array:
+        out = []
+        for a, b, x, y in zip(n1.to_pylist(), n2.to_pylist(), s1, s2, strict=True):
+            x, y = (np.frombuffer(v.as_buffer(), np.uint8) for v in (x, y))
+            size = min(len(x), len(y))
+            apart = int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum())
+            out.append(den * min(a, b) >= num * max(a, b) and apart <= (den - num) * (a + b) // (den + num))
+        return pa.array(out, pa.bool_())
+
+    return plausible
 
 
 def similar(num: int, den: int):
+    """Column function: (set, set) -> whether their Jaccard similarity is num/den or more."""
+
     @F.arrow_udf("boolean")
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
         for a, b in zip(left, right, strict=True):
             a, b = (np.frombuffer(x.as_buffer(), U64) for x in (a, b))
-            both = len(np.intersect1d(a, b, assume_unique=True)) if den * min(len(a), len(b)) >= num * max(len(a), len(b)) else 0
+            both = len(np.intersect1d(a, b, assume_unique=True))
             out.append(bool(both) and den * both >= num * (len(a) + len(b) - both))
         return pa.array(out, pa.bool_())
 
     return similar
 
 
+def _compared(num: int, den: int):
+    """Rows (sig, x, y, block, doc, component, size, sketch) sorted by sig, x, y -> plausible pairs (a, b).
+
+    x = y: all pairs of a block; x < y: members of block x against those of block y.
+    """
+
+    def compare(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        block, doc, comp, size = (np.array([r[i] for r in rows], np.int64) for i in range(4))
+        width = min(len(r[4]) for r in rows)
+        bits = np.stack([_folded(np.frombuffer(r[4], np.uint8), width) for r in rows]).view(U64)
+        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        found = [np.zeros((0, 2), np.int64)]
+        step = max(1, (1 << 19) // (len(right) * bits.shape[1]))
+        for i in range(0, len(left), step):
+            at = left[i : i + step]
+            apart = np.bitwise_count(bits[at][:, None] ^ bits[right][None]).sum(2, dtype=np.int64)
+            sums = size[at][:, None] + size[right][None]
+            least = np.minimum(size[at][:, None], size[right][None])
+            ok = (apart <= (den - num) * sums // (den + num)) & (den * least >= num * (sums - least)) & (comp[at][:, None] != comp[right][None])
+            ok &= doc[at][:, None] < doc[right][None] if block.min() == block.max() else True
+            a, b = np.nonzero(ok)
+            found.append(np.stack([doc[at[a]], doc[right[b]]], 1))
+        found = np.concatenate(found)
+        return found.min(1), found.max(1)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in batches:
+            for *now, block, doc, comp, size, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != key:
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in compare(rows)], ["a", "b"])
+                    key, rows = now, []
+                rows.append((block, doc, comp, size, bits))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in compare(rows)], ["a", "b"])
+
+    return stream
+
+
 def _signed_rows(n: int, num: int, den: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,7 +246,7 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = at >= old
         left, right = [], []
         for lag in range(1, NEAR + 1):
-            hit = at[(at >= max(lag, old)) & (rank >= lag)]
+            hit = at[(at >= max(lag, old)) & (rank >= lag) & ((rank <= NEAR) | (lag == 1))]
             if not len(hit):
                 break
             left.append(doc[hit - lag])
@@ -202,17 +279,24 @@ class JaccardJoin:
         self.docs = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).cast("string").alias("text")).filter("doc is not null")
         self.n, self.num, self.den = n, num, den
 
-    def sets_of(self, ids: DataFrame) -> DataFrame:
+    def facts(self, ids: DataFrame) -> DataFrame:
+        """(doc, set, size, sketch) of these documents."""
         found = self.docs.join(small_keys(ids), "doc", "left_semi")
-        return found.select("doc", shingle_bytes(self.n)("text").alias("set"))
+        return written(found.select("doc", set_facts(self.n)("text").alias("f")).select("doc", "f.*"), "sets")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are linked."""
+        """The pairs (a, b) that are linked: first by their sketches, then by their sets."""
         pairs = written(pairs.distinct(), "pairs")
-        ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ids")
-        sets = written(self.sets_of(ids), "sets")
-        both = pairs.join(sets.select(F.col("doc").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc").alias("b"), F.col("set").alias("sb")), "b")
-        return both.filter(similar(self.num, self.den)("sa", "sb")).select("a", "b")
+        facts = self.facts(written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ids"))
+
+        def joined(pairs: DataFrame, *columns: str) -> DataFrame:
+            for side in ("a", "b"):
+                pairs = pairs.join(facts.select(F.col("doc").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
+            return pairs
+
+        left = joined(pairs, "size", "sketch").filter(plausible(self.num, self.den)("size_a", "sketch_a", "size_b", "sketch_b"))
+        left = written(left.select("a", "b"), "pairs")
+        return joined(left, "set").filter(similar(self.num, self.den)("set_a", "set_b")).select("a", "b")
 
     def classes(self) -> DataFrame:
         """(doc, size, class): class is the smallest id with an equal set; null for empty sets."""
@@ -229,20 +313,24 @@ class JaccardJoin:
         signed_docs = sets.mapInArrow(_signed_rows(self.n, self.num, self.den), "sig long, doc long")
         met = written(signed_docs.repartition("sig").sortWithinPartitions("sig", "doc").mapInArrow(_paired, "sig long, a long, b long"), "met")
         links = written(self.verified(met.filter("sig is null").select("a", "b")), "links")
+        comps = written(components(links), "components")
         groups = met.filter("sig is not null").select("sig", F.col("a").alias("doc")).distinct()
-        done = 0
-        while True:
-            comps = written(components(links), "components")
-            left = groups.join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-            split = left.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).filter((F.col("x") < F.col("y")) & (F.col("members") > done))
-            left = left.join(split.select("sig"), "sig")
-            ranked = written(left.withColumn("at", F.row_number().over(Window.partitionBy("sig").orderBy("doc"))), "groups")
-            if ranked.isEmpty():
-                return classes, links, comps
-            pivots = ranked.filter((F.col("at") > done) & (F.col("at") <= done + PIVOTS)).select("sig", F.col("doc").alias("a"), F.col("component").alias("c"), F.col("at").alias("pivot"))
-            pairs = ranked.join(pivots, "sig").filter("at > pivot and component <> c").select("a", F.col("doc").alias("b"))
-            links = written(links.union(self.verified(pairs)).distinct(), "links")
-            groups, done = ranked.select("sig", "doc"), done + PIVOTS
+        named = groups.join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        split = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).filter("x < y")
+        split = written(named.join(split.select("sig", "members"), "sig"), "groups")
+        if split.isEmpty():
+            return classes, links, comps
+        facts = self.facts(written(split.select("doc").distinct(), "ids"))
+        # one block each for all but huge groups
+        last = F.floor((F.col("members") - 1) / BLOCK).cast("int")
+        place = F.when(last == 0, 0).otherwise(F.floor((F.row_number().over(Window.partitionBy("sig").orderBy("component", "doc")) - 1) / BLOCK)).cast("int")
+        small = split.filter(F.col("members") <= BLOCK).select("sig", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("block"), "doc", "component")
+        large = split.filter(F.col("members") > BLOCK).withColumn("block", place)
+        large = large.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc", "component")
+        rows = small.union(large).join(facts.select("doc", "size", "sketch"), "doc").select("sig", "x", "y", "block", "doc", "component", "size", "sketch")
+        pairs = rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(_compared(self.num, self.den), "a long, b long")
+        links = written(links.union(self.verified(pairs)), "links")
+        return classes, links, written(components(links), "components")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
