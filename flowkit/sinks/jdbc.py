@@ -36,14 +36,19 @@ def jdbc(df: DataFrame, url: str, table: str, columns: list[str] | None = None,
     quoted = ", ".join(f'"{f.name}"' for f in fields)
     connection = driver.getConnection(url, properties)
     try:
-        connection.createStatement().executeUpdate(f"CREATE TABLE {staging} AS SELECT {quoted} FROM {table} WITH NO DATA")
-        rows.write.format("jdbc").mode("append").options(url=url, dbtable=staging, batchsize=batch_size, **options).save()
+        # Spark makes the staging table; a database may know its texts as large objects, so they are cast back
+        about = connection.createStatement().executeQuery(f"SELECT {quoted} FROM {table} WHERE 1 = 0").getMetaData()
+        moved = ", ".join(
+            f'CAST("{f.name}" AS {about.getColumnTypeName(i)}({about.getPrecision(i)}))' if "CHAR" in about.getColumnTypeName(i).upper() and 0 < about.getPrecision(i) < 1 << 20 else f'"{f.name}"'
+            for i, f in enumerate(fields, 1)
+        )
+        rows.write.format("jdbc").mode("error").options(url=url, dbtable=staging, batchsize=batch_size, **options).save()
         connection.setAutoCommit(False)
         try:
             statement = connection.createStatement()
             if truncate:
                 statement.executeUpdate(f"DELETE FROM {table}")
-            statement.executeUpdate(f"INSERT INTO {table} ({quoted}) SELECT {quoted} FROM {staging}")
+            statement.executeUpdate(f"INSERT INTO {table} ({quoted}) SELECT {moved} FROM {staging}")
             connection.commit()
         except BaseException:
             connection.rollback()
@@ -52,6 +57,7 @@ def jdbc(df: DataFrame, url: str, table: str, columns: list[str] | None = None,
             connection.setAutoCommit(True)
     finally:
         try:
-            connection.createStatement().executeUpdate(f"DROP TABLE {staging}")
+            if connection.getMetaData().getTables(None, None, staging.upper(), None).next() or connection.getMetaData().getTables(None, None, staging, None).next():
+                connection.createStatement().executeUpdate(f"DROP TABLE {staging}")
         finally:
             connection.close()

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 #: Fields of a JSON event that become columns; the whole line is kept beside them.
-EVENT = "event string, run_id string, pipeline string, node string, kind string, component string, error string, reason string, attempt int, will_retry boolean, succeeded boolean, elapsed_ms long, nodes array<struct<node:string,input:struct<rows:long,bytes:long,stalled_ms:long>,output:struct<rows:long,bytes:long,stalled_ms:long>>>"
+EVENT = "event string, run_id string, seq long, pipeline string, node string, kind string, component string, error string, reason string, attempt int, will_retry boolean, succeeded boolean, elapsed_ms long, nodes array<struct<node:string,input:struct<rows:long,bytes:long,stalled_ms:long>,output:struct<rows:long,bytes:long,stalled_ms:long>>>"
 
 
 def detail(kind: Column) -> Column:
@@ -31,9 +31,9 @@ def detail(kind: Column) -> Column:
 
 
 def classify(lines: DataFrame, column: str = "value") -> DataFrame:
-    """JSON lines -> (run_id, kind, node, detail, elapsed_ms, nodes, payload); lines without an event tag are dropped. Works on streams."""
+    """JSON lines -> (run_id, seq, kind, node, detail, elapsed_ms, nodes, payload); lines without an event tag are dropped. Works on streams."""
     parsed = lines.select(F.col(column).alias("payload"), F.from_json(column, EVENT).alias("e")).filter("e.event is not null").select("payload", "e.*")
-    return parsed.select("run_id", F.col("event").alias("kind"), "node", detail(F.col("event")).alias("detail"), "elapsed_ms", "will_retry", "succeeded", "nodes", "payload")
+    return parsed.select("run_id", "seq", F.col("event").alias("kind"), "node", detail(F.col("event")).alias("detail"), "elapsed_ms", "will_retry", "succeeded", "nodes", "payload")
 
 
 def ingest(lines: DataFrame, path: str, checkpoint: str):
