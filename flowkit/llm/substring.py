@@ -42,6 +42,23 @@ def text_keys():
     return keys
 
 
+def _by_text(hashes: list[np.ndarray], owner: np.ndarray, place: np.ndarray, ids: np.ndarray) -> list[pa.Array]:
+    """(hashes .., document, list of places): a row for each hash of a document, so that periodic texts make no hot keys."""
+    order = np.lexsort((place, *hashes[::-1], owner))
+    hashes, owner, place = [h[order] for h in hashes], owner[order], place[order]
+    opens = np.ones(len(owner), bool)
+    opens[1:] = np.any([x[1:] != x[:-1] for x in (owner, *hashes)], axis=0)
+    at = np.flatnonzero(opens)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(owner)).astype(np.int32)), pa.array(place.astype(np.int32)))
+    return [*(signed(h[at]) for h in hashes), pa.array(ids[owner[at]]), lists]
+
+
+def _flat(doc: np.ndarray, lists: pa.ListArray, take: np.ndarray) -> pa.RecordBatch:
+    """(doc, at) of every place of the rows taken."""
+    lists = lists.filter(pa.array(take))
+    return pa.RecordBatch.from_arrays([pa.array(np.repeat(doc[take], np.diff(np.asarray(lists.offsets)))), lists.flatten()], ["doc", "at"])
+
+
 def _anchors(span: int):
     length = span - PERIOD + 1
     in_cover = np.isin(np.arange(PERIOD), COVER)
@@ -56,8 +73,8 @@ def _anchors(span: int):
                 place = np.arange(len(w.hash)) - np.repeat(w.first[:-1], counts)
                 last = np.repeat(counts, counts) - length
                 at = np.flatnonzero((place <= last) & in_cover[place % PERIOD] & (np.repeat(counts, counts) >= span))
-                owner = np.repeat(ids[lo : lo + len(counts)], counts)
-                yield pa.RecordBatch.from_arrays([signed(hashes[at]), pa.array(owner[at]), pa.array(place[at].astype(np.int32))], ["h", "doc", "at"])
+                owner = np.repeat(np.arange(len(counts)), counts)
+                yield pa.RecordBatch.from_arrays(_by_text([hashes[at]], owner[at], place[at], ids[lo:]), ["h", "doc", "at"])
 
     return anchors
 
@@ -68,12 +85,15 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Of a group that goes on in the next batch only rows of its first document
     wait; later rows show by themselves that it recurs.
     """
-    h, doc, at = (np.zeros(0, t) for t in (np.int64, np.int64, np.int32))
-    lone_h, lone_doc = None, None  # a group known to recur that goes on
+    waiting = None
+    lone_h = None  # a group known to recur that goes on
     for batch in batches:
-        h, doc, at = (np.concatenate([x, np.asarray(batch.column(i))]) for i, x in enumerate((h, doc, at)))
-        if not len(h):
+        if waiting is not None:
+            batch = pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()
+            batch = batch[0] if batch else waiting
+        if not batch.num_rows:
             continue
+        h, doc, at = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(2)
         opens = np.r_[True, h[1:] != h[:-1]]
         group = np.cumsum(opens) - 1
         begin = np.flatnonzero(opens)
@@ -84,10 +104,9 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waits = not shared[-1]
         take = shared[group]
         if take.any():
-            yield pa.RecordBatch.from_arrays([pa.array(doc[take]), pa.array(at[take])], ["doc", "at"])
+            yield _flat(doc, at, take)
         lone_h = None if waits else h[-1]
-        keep = begin[-1] if waits else len(h)
-        h, doc, at = h[keep:], doc[keep:], at[keep:]
+        waiting = batch.slice(begin[-1]) if waits else None
 
 
 def _windows(span: int):
@@ -106,9 +125,7 @@ def _windows(span: int):
                         np.add.at(marks, a + np.minimum(found + 1, b - a - span + 1), -1)
                 at = np.flatnonzero(np.cumsum(marks)[:-1] > 0)
                 owner = np.searchsorted(w.first, at, "right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [signed(both[0][at]), signed(both[1][at]), pa.array(ids[lo + owner]), pa.array((at - w.first[owner]).astype(np.int32))], ["h", "h2", "doc", "at"]
-                )
+                yield pa.RecordBatch.from_arrays(_by_text([x[at] for x in both], owner, at - w.first[owner], ids[lo:]), ["h", "h2", "doc", "at"])
 
     return windows
 
@@ -117,7 +134,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (h, h2, doc, at) sorted -> (doc, at) of those that a smaller document has too."""
     last = None  # (h, h2, first document) of the group that is open
     for batch in batches:
-        h, h2, doc, at = (np.asarray(batch.column(i)) for i in range(4))
+        h, h2, doc = (np.asarray(batch.column(i)) for i in range(3))
         if not len(h):
             continue
         opens = np.r_[True, (h[1:] != h[:-1]) | (h2[1:] != h2[:-1])]
@@ -128,7 +145,7 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take = doc > first
         last = (h[-1], h2[-1], first[-1])
         if take.any():
-            yield pa.RecordBatch.from_arrays([pa.array(doc[take]), pa.array(at[take])], ["doc", "at"])
+            yield _flat(doc, batch.column(3), take)
 
 
 def _merged(span: int):
@@ -164,11 +181,11 @@ def repeated_spans(docs: DataFrame, span: int = 50, id_column: str = "doc_id", t
     least = keyed.groupBy("n_words", "hi", "lo").agg(F.min("doc").alias("least"))
     copies = written(keyed.join(least, ["n_words", "hi", "lo"]).filter("least < doc").select("doc", "n_words").distinct(), "copies")
     docs = docs.join(small_keys(copies.select("doc")), "doc", "left_anti")
-    anchors = docs.mapInArrow(_anchors(span), "h long, doc long, at int")
+    anchors = docs.mapInArrow(_anchors(span), "h long, doc long, at array<int>")
     found = written(anchors.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_recurring, "doc long, at int"), "anchors")
     places = found.groupBy("doc").agg(F.collect_set("at").alias("places"))
     with_any = docs.join(small_keys(written(found.select("doc").distinct(), "ids")), "doc", "left_semi")
-    windows = with_any.join(places, "doc").select("doc", "text", "places").mapInArrow(_windows(span), "h long, h2 long, doc long, at int")
+    windows = with_any.join(places, "doc").select("doc", "text", "places").mapInArrow(_windows(span), "h long, h2 long, doc long, at array<int>")
     repeats = windows.repartition("h").sortWithinPartitions("h", "h2", "doc").mapInArrow(_repeats, "doc long, at int")
     spans = repeats.groupBy("doc").agg(F.collect_list("at").alias("starts")).select("doc", _merged(span)("starts").alias("spans"))
     whole = copies.select("doc", F.array(F.struct(F.lit(0).alias("begin"), F.col("n_words").cast("int").alias("stop"))).alias("spans"))
