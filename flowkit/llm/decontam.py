@@ -59,7 +59,7 @@ def distance(item: bytes, text: bytes, limit: int) -> tuple[int, int] | None:
     masks: dict[int, int] = {}
     for i, c in enumerate(item):
         masks[c] = masks.get(c, 0) | 1 << i
-    plus, minus, score, best = full, 0, m, None
+    plus, minus, score, best = full, 0, m, (m, 0) if m <= limit else None
     for i, c in enumerate(text):
         eq = masks.get(c, 0)
         xv = eq | minus

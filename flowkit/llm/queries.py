@@ -131,4 +131,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def _level(level: str, above: str) -> str:
+    """SQL: the concentration and the posterior means of one level, shrunk to the level above."""
+    return f"""
+    {level}_sums AS (SELECT sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, sum(n * n)::DOUBLE AS squares, sum(bad * bad / n::DOUBLE) AS inside, count(*) AS k FROM {level}_counts WHERE n > 0),
+    {level}_spread AS (SELECT *, inside - n * (bad / n) * (bad / n) - bad / n * (1 - bad / n) * (k - 1) AS extra, bad / n * (1 - bad / n) * (n - squares / n - (k - 1)) AS room FROM {level}_sums),
+    {level}_strength AS (SELECT CASE WHEN n IS NULL OR bad IN (0, n) OR k < 2 OR room <= 0 OR extra <= 0 THEN 1e6 ELSE least(1e6, greatest(1, room / extra - 1)) END AS s FROM {level}_spread),
+    {level}_mean AS (SELECT c.*, (c.bad + s * a.mean) / (c.n + s) AS mean FROM {level}_counts AS c JOIN {above} AS a USING (above), {level}_strength)"""
+
+
+def _rules_sql() -> tuple[str, str]:
+    text = verdict = ""
+    for what, host, path in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2])):
+        fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+        text, verdict = f"{text} WHEN {fits} THEN '{host}{path}'", f"{verdict} WHEN {fits} THEN '{what}'"
+    return f"CASE{text} END", f"CASE{verdict} END"
+
+
+_TWO = ", ".join(f"'{s}'" for s in urls.TWO_LABEL_SUFFIXES)
+_LABELS = "string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.')"
+_URL_SQL = f"""
+WITH parts AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+    worst AS (SELECT doc_id AS page_id, max(greatest(coalesce(toxic, 0), 1 - coalesce(quality, 1)))::BIGINT AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    known AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS bad, {_LABELS} AS labels FROM (SELECT DISTINCT page_id, host FROM parts) LEFT JOIN worst USING (page_id) GROUP BY host),
+    named AS (SELECT host, n, bad, CASE WHEN array_to_string(labels[-2:], '.') IN ({_TWO}) THEN array_to_string(labels[-2:], '.') ELSE labels[-1] END AS suffix, CASE WHEN array_to_string(labels[-2:], '.') IN ({_TWO}) THEN array_to_string(labels[-3:], '.') ELSE array_to_string(labels[-2:], '.') END AS domain FROM known),
+    base AS (SELECT 1 AS above, CASE WHEN sum(n) > 0 THEN sum(bad) / sum(n)::DOUBLE ELSE 0.5 END AS mean FROM named),
+    suffix_counts AS (SELECT suffix, 1 AS above, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM named GROUP BY suffix),{_level("suffix", "base")},
+    domain_counts AS (SELECT domain, suffix AS above, sum(n)::BIGINT AS n, sum(bad)::BIGINT AS bad FROM named GROUP BY domain, suffix),{_level("domain", "(SELECT suffix AS above, mean FROM suffix_mean)")},
+    host_counts AS (SELECT host, domain AS above, n, bad FROM named),{_level("host", "(SELECT domain AS above, mean FROM domain_mean)")}
+SELECT page_id, host, path, {_rules_sql()[0]} AS rule, coalesce({_rules_sql()[1]}, CASE WHEN mean - 1.645 * sqrt(mean * (1 - mean) / (n + s + 1)) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, round(mean, 6) AS bad_share
+FROM parts JOIN host_mean USING (host), host_strength
+"""
+
+ORACLE_SQL: dict[str, str] = {"op8_url_filters": _URL_SQL}
