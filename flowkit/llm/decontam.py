@@ -2,9 +2,9 @@
 
 Texts and test items are normalised: A-Z lower-cased, every run of other ASCII
 characters that are not letters or digits made one space. An item of m bytes
-may occur with up to k = min(5 % of m, m/16 - 1) edits. It is split into k + 1
-pieces; k edits leave one of them untouched, so each occurrence holds an exact
-piece. One Aho-Corasick pass finds the pieces of a block of items in whole
+may occur with up to k = m/12 - 1 edits, about 8 %. It is split into k + 1
+pieces of 12 bytes or more; k edits leave one of them untouched, so each
+occurrence holds an exact piece. One Aho-Corasick pass finds the pieces of a block of items in whole
 texts, and Myers' bit-parallel algorithm verifies the stretch around each hit.
 Edits are counted in bytes of UTF-8.
 
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 from .words import slabs
 
+#: Least bytes of a piece; an edit is allowed for each piece but one.
+PIECE = 12
 #: Most bytes of items in one block.
 BLOCK_BYTES = 8 << 20
 _PLAIN = np.full(256, 32, np.uint8)
@@ -40,7 +42,7 @@ def normalised(buf: np.ndarray) -> np.ndarray:
 
 
 def budget(m: int) -> int:
-    return max(0, min(m // 20, m // 16 - 1))
+    return max(0, m // PIECE - 1)
 
 
 def split(item: bytes, k: int) -> list[tuple[int, bytes]]:
@@ -144,6 +146,6 @@ def found_in(text: Column, benchmark: DataFrame, id_column: str = "item_id", tex
     """Column: all items that occur in ``text``, as array<struct<item_id, distance, stop>>.
 
     Null and empty texts hold none, and null or blank items occur nowhere. Items
-    under 32 bytes must occur exactly. An item id that repeats stands for each of its texts.
+    under 24 bytes must occur exactly. An item id that repeats stands for each of its texts.
     """
     return F.concat(*[matches(items)(text.cast("string")) for items in _blocks(benchmark, id_column, text_column)])

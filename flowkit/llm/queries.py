@@ -163,4 +163,26 @@ SELECT page_id, host, path, {_rules_sql()[0]} AS rule, coalesce({_rules_sql()[1]
 FROM parts JOIN host_mean USING (host), host_strength
 """
 
-ORACLE_SQL: dict[str, str] = {"op8_url_filters": _URL_SQL}
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+_JACCARD_SQL = f"""
+WITH RECURSIVE texts AS (SELECT doc_id, {_WORDS.format(f"translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}')")} AS words FROM documents),
+    shingles AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS shingle FROM texts),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles AS a JOIN shingles AS b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (SELECT x, y FROM shared JOIN sizes AS a ON a.doc_id = x JOIN sizes AS b ON b.doc_id = y WHERE 100 * shared.n >= 85 * (a.n + b.n - shared.n)),
+    ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reached(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reached.doc_id, y FROM reached JOIN ways ON x = other)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id FROM reached LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
+_SUBSTRING_SQL = f"""
+WITH texts AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS words FROM documents),
+    windows AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS h FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM texts WHERE len(words) >= 50)),
+    firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h),
+    gone AS (SELECT DISTINCT doc_id, i + k AS place FROM windows JOIN firsts USING (h), range(50) AS t(k) WHERE first < doc_id),
+    counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+    placed AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM texts),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS kept FROM placed ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM texts LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": _JACCARD_SQL, "op8_url_filters": _URL_SQL, "op9_substring_dedup": _SUBSTRING_SQL}
