@@ -46,7 +46,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bounded_batches(spark)
     path, pattern = tokenizer()
     ids = docs.select("doc_id", "lang", "source", bpe.encode(path, pattern)("text").alias("e")).select("doc_id", "lang", "source", "e.*")
-    return ids.withColumn("text", F.decode(bpe.decode(path, pattern)("ids"), F.lit("UTF-8")))
+    return ids.withColumn("text", F.decode(bpe.decode(path, pattern)("ids"), "UTF-8"))
 
 
 STAGES = [
