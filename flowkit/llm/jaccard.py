@@ -219,7 +219,7 @@ def _signed_rows(n: int, num: int, den: int):
                 held.append(s)
                 owners.append(np.full(len(s), i, np.int64))
                 count += len(s)
-                if count > 200_000:
+                if count > 50_000:
                     yield pa.RecordBatch.from_arrays([signed(np.concatenate(held)), pa.array(np.concatenate(owners))], ["sig", "doc"])
                     held, owners, count = [], [], 0
             if count:
@@ -302,8 +302,10 @@ class JaccardJoin:
         """(doc, size, class): class is the smallest id with an equal set; null for empty sets."""
         keyed = written(self.docs.select("doc", set_keys(self.n)("text").alias("k")).select("doc", "k.*"), "keys")
         some = keyed.filter("n > 0")
-        least = some.groupBy("n", "hi", "lo").agg(F.min("doc").alias("class"))
-        return some.join(least, ["n", "hi", "lo"]).select("doc", F.col("n").alias("size"), "class").union(keyed.filter("n = 0").select("doc", "n", F.lit(None).cast("long")))
+        least = some.groupBy("n", "hi", "lo").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).filter("least < last").drop("last")
+        # written, so that the join has plain shuffles below it and Spark can split a class that holds many rows
+        named = some.join(written(least, "copied"), ["n", "hi", "lo"], "left")
+        return named.select("doc", F.col("n").alias("size"), F.coalesce("least", "doc").alias("class")).union(keyed.filter("n = 0").select("doc", "n", F.lit(None).cast("long")))
 
     def linked(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(classes, links between class representatives, components of the representatives)."""

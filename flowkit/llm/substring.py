@@ -178,8 +178,9 @@ def repeated_spans(docs: DataFrame, span: int = 50, id_column: str = "doc_id", t
         raise ValueError(f"span must be {PERIOD} words or more")
     docs = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).cast("string").alias("text")).filter("doc is not null and text is not null")
     keyed = written(docs.select("doc", text_keys()("text").alias("k")).select("doc", "k.*").filter(F.col("n_words") >= span), "texts")
-    least = keyed.groupBy("n_words", "hi", "lo").agg(F.min("doc").alias("least"))
-    copies = written(keyed.join(least, ["n_words", "hi", "lo"]).filter("least < doc").select("doc", "n_words").distinct(), "copies")
+    least = keyed.groupBy("n_words", "hi", "lo").agg(F.min("doc").alias("least"), F.max("doc").alias("last")).filter("least < last").drop("last")
+    # written, so that the join has plain shuffles below it and Spark can split a class that holds many rows
+    copies = written(keyed.join(written(least, "copied"), ["n_words", "hi", "lo"]).filter("least < doc").select("doc", "n_words").distinct(), "copies")
     docs = docs.join(small_keys(copies.select("doc")), "doc", "left_anti")
     anchors = docs.mapInArrow(_anchors(span), "h long, doc long, at array<int>")
     found = written(anchors.repartition("h").sortWithinPartitions("h", "doc").mapInArrow(_recurring, "doc long, at int"), "anchors")
