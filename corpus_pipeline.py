@@ -45,8 +45,8 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text that decoding them gives."""
     bounded_batches(spark)
     path, pattern = tokenizer()
-    ids = docs.select("doc_id", "lang", "source", bpe.encode(path, pattern)("text").alias("e")).select("doc_id", "lang", "source", "e.*")
-    return ids.withColumn("text", F.decode(bpe.decode(path, pattern)("ids"), "UTF-8"))
+    ids = docs.select("doc_id", "lang", "source", bpe.round_trip(path, pattern)("text").alias("e"))
+    return ids.select("doc_id", "lang", "source", "e.n_tokens", "e.ids", F.decode("e.decoded", "UTF-8").alias("text"))
 
 
 STAGES = [

@@ -41,27 +41,40 @@ def pieces(text: str, size: int = PIECE) -> list[str]:
     return [*out, text[lo:]]
 
 
-def encode(path: str, pattern: str, size: int = PIECE):
-    """Column function: text -> struct<n_tokens: long, ids: binary>, ids as little-endian 32-bit integers.
+def token_ids(bpe: tiktoken.Encoding, text: str, size: int = PIECE) -> np.ndarray:
+    """The ids of a text as little-endian 32-bit integers; special-token strings are ordinary text."""
+    if len(text) <= size:
+        return np.array(bpe.encode_ordinary(text), "<u4")
+    return np.concatenate([np.array(bpe.encode_ordinary(x), "<u4") for x in pieces(text, size)])
+
 
-    Special-token strings are ordinary text. A null or empty text has no tokens.
-    """
+def encode(path: str, pattern: str, size: int = PIECE):
+    """Column function: text -> struct<n_tokens: long, ids: binary>. A null or empty text has no tokens."""
 
     @F.arrow_udf("struct<n_tokens:long,ids:binary>")
     def encode(texts: pa.Array) -> pa.Array:
         bpe = encoding(path, pattern)
-        counts, ids = [], []
-        for text in texts:
-            text = text.as_py() or ""
-            if len(text) <= size:
-                found = np.array(bpe.encode_ordinary(text), "<u4")
-            else:
-                found = np.concatenate([np.array(bpe.encode_ordinary(x), "<u4") for x in pieces(text, size)])
+        ids = [token_ids(bpe, x.as_py() or "", size) for x in texts]
+        return pa.StructArray.from_arrays([pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["n_tokens", "ids"])
+
+    return encode
+
+
+def round_trip(path: str, pattern: str, size: int = PIECE):
+    """Column function: text -> struct<n_tokens, ids, decoded>: ``encode`` and ``decode`` in one pass, with one set of workers."""
+
+    @F.arrow_udf("struct<n_tokens:long,ids:binary,decoded:binary>")
+    def round_trip(texts: pa.Array) -> pa.Array:
+        bpe = encoding(path, pattern)
+        counts, ids, decoded = [], [], []
+        for x in texts:
+            found = token_ids(bpe, x.as_py() or "", size)
             counts.append(len(found))
             ids.append(found.tobytes())
-        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], ["n_tokens", "ids"])
+            decoded.append(bpe.decode_bytes(np.frombuffer(ids[-1], "<u4").tolist()))
+        return pa.StructArray.from_arrays([pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["n_tokens", "ids", "decoded"])
 
-    return encode
+    return round_trip
 
 
 def decode(path: str, pattern: str):

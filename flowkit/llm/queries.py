@@ -112,9 +112,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of token ids and of the decoded bytes."""
     path, pattern = tokenizer()
-    docs = table(spark, sf_dir, "documents")
-    ids = docs.select("doc_id", bpe.encode(path, pattern)("text").alias("e")).select("doc_id", "e.*")
-    out = ids.withColumn("decoded", bpe.decode(path, pattern)("ids"))
+    out = table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip(path, pattern)("text").alias("e")).select("doc_id", "e.*")
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

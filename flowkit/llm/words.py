@@ -16,7 +16,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-SLAB = 2 << 20
+#: Bytes of texts that are worked through at once, and of those the bytes that are hashed at once.
+SLAB, CHUNK = 1 << 18, 1 << 17
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _SPACE = np.zeros(256, bool)
@@ -102,7 +103,7 @@ def words(buf: np.ndarray, bounds: np.ndarray, lower: bool = False, affixes: tup
     values = _byte_values(lower)
     lo = 0
     while lo < len(start):
-        hi = max(lo + 1, int(np.searchsorted(start, start[lo] + (1 << 20))))
+        hi = max(lo + 1, int(np.searchsorted(start, start[lo] + CHUNK)))
         a, b = int(start[lo]), int(end[hi - 1])
         sums = np.zeros(b - a + 1, U64)
         np.cumsum(values[buf[a:b]] * powers(_BYTE_BASE, b - a), out=sums[1:])

@@ -29,7 +29,9 @@ def test_columns_round_trip(spark, docs_of, odd_texts, reference):
     path, pattern = tokenizer()
     docs = docs_of(spark, texts)
     out = docs.select("doc_id", bpe.encode(path, pattern, 1000)("text").alias("e")).select("doc_id", "e.*").withColumn("back", bpe.decode(path, pattern)("ids"))
+    both = {r.doc_id: r.e for r in docs.select("doc_id", bpe.round_trip(path, pattern, 1000)("text").alias("e")).collect()}
     for r in out.collect():
+        assert both[r.doc_id] == (r.n_tokens, r.ids, r.back)
         ids = reference.encode_ordinary(texts[r.doc_id] or "")
         assert (r.n_tokens, np.frombuffer(r.ids, "<u4").tolist(), bytes(r.back)) == (len(ids), ids, (texts[r.doc_id] or "").encode())
     assert docs.limit(0).select(bpe.encode(path, pattern)("text")).count() == 0
