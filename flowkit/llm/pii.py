@@ -6,12 +6,20 @@ and replaced by a keyed Feistel permutation of the values of the same format.
 A permutation never merges two values, and one key gives one pseudonym for a
 value wherever and however it is written, so documents stay linked. Numbers
 that fail validation are left alone.
+
+A card number or an IBAN may stand next to other numbers ("4111 1111 1111 1111
+12/27"). What the pattern takes in is then cut at blanks and hyphens: a card
+number is one group of digits or groups as cards show them before it is all
+that the pattern found, and an IBAN has its country's length first. Inside a
+run of numbers, groups of under four digits make no card number unless cards
+are printed so; else nearly every list of small numbers would hold one by chance.
 """
 
 from __future__ import annotations
 
 import datetime
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
 from math import isqrt
@@ -29,9 +37,20 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|(?<=[ .-])\d{3}[ .-]|(?<![\d.-])\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{8,15}(?!\d)",
-    "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d])",
+    "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d])",
 }
 _ANY = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
+_KINDS = {k: re.compile(v) for k, v in PATTERNS.items()}
+_NO_CARD = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items() if k != "card"))
+_TOKEN, _DIGITS, _RUN = re.compile("[A-Za-z0-9]+"), re.compile(r"\d+"), re.compile(r"\d{1,20}(?:[ -]\d{1,20}){0,37}")
+#: The groups of digits that cards show, and the length of an IBAN by its country (SWIFT's registry).
+CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 3, 3, 3), (4, 4, 5), (4, 4, 4, 4, 2), (4, 4, 4, 4, 3)}
+IBAN_LENGTHS = {c: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in countries.split()}
 _MAYBE = re.compile("[0-9@]")
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -151,19 +170,107 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     return f"{new.day:02d}{'/' if '/' in value else '.'}{new.month:02d}{'/' if '/' in value else '.'}{new.year}"
 
 
+def _card(text: str, start: int, end: int, whole: bool, key: bytes) -> tuple[int, int] | None:
+    """Where the card number stands in the digit groups that begin at ``start``; the card pattern ends at ``end``.
+
+    A lone group comes before groups as on cards, these before all that the
+    pattern took in (if ``whole``), and that before groups of four digits or more.
+    """
+    groups = [(m.start() + start, m.end() + start) for m in _DIGITS.finditer(_RUN.match(text, start)[0])]
+    cards = []
+    for i, (a, first) in enumerate(groups):
+        if a >= end:
+            break
+        if first - a < 4 and (i or not whole):
+            continue
+        digits, shape = "", []
+        for x, b in groups[i:]:
+            digits += text[x:b]
+            shape.append(b - x)
+            if len(digits) > 19:
+                break
+            if len(digits) < 13:
+                continue
+            if len(shape) == 1:
+                rank = 0
+            elif tuple(shape) in CARD_GROUPS:
+                # 17 to 19 digits may as well be 16 and something else
+                rank = 1 if len(digits) < 17 else 2
+            elif whole and (a, b) == (start, end):
+                rank = 3
+            elif min(shape[:-1]) > 3:
+                rank = 4
+            else:
+                continue
+            if digits.strip("0") and not luhn(digits):
+                cards.append((rank, a, -b))
+    for rank, a, b in sorted(cards):
+        # odd groups yield to another value that begins among them
+        if rank < 3 or not any(m.start() < -b and pseudonym(m.lastgroup, m[0], key) for m in _NO_CARD.finditer(text, a + 1, 40 - b)):
+            return a, -b
+    return None
+
+
+def _iban(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Stretches from ``start`` that may be the IBAN: of its country's length, then all, then (unknown countries) shorter ones."""
+    known = IBAN_LENGTHS.get(text[start : start + 2])
+    ends = [m.end() + start for m in _TOKEN.finditer(text[start:end])]
+    if known:
+        yield from ((start, b) for b in ends if b - start - text.count(" ", start, b) == known)
+    yield from ((start, b) for b in (ends[-1:] if known else reversed(ends)))
+
+
 def replaced(text: str, key: bytes) -> tuple[str, int]:
     """``text`` with pseudonyms, and how many."""
     if not _MAYBE.search(text):
         return text, 0
-    count = 0
+    out, count = [], 0
+    done = at = 0  # text before ``done`` is in ``out``; the search goes on at ``at``
+    tried = 0  # end of what was matched but did not validate as a whole
+    card = None  # a card number found ahead
+    bare = 0  # no card number begins before
 
-    def swap(m: re.Match) -> str:
-        nonlocal count
-        new = pseudonym(m.lastgroup, m[0], key)
-        count += new is not None
-        return m[0] if new is None else new
+    def stretches(kind: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+        nonlocal card, bare
+        if kind == "iban":
+            yield from _iban(text, start, end)
+        elif kind != "card":
+            yield start, end
+        elif start >= bare:
+            card = card or _card(text, start, end, start >= tried and text[start - 1 : start] != "-", key)
+            bare = bare if card else end
+            if card and card[0] == start:
+                yield card
 
-    return _ANY.sub(swap, text), count
+    def values(m: re.Match) -> Iterator[tuple[str, int]]:
+        """(pseudonym, end) of what validates at the start of a match, as the kind found and those behind it in PATTERNS."""
+        nonlocal tried
+        start, kinds = m.start(), list(PATTERNS)
+        for kind in kinds[kinds.index(m.lastgroup) :]:
+            if m := _KINDS[kind].match(text, start):
+                for a, b in stretches(kind, start, m.end()):
+                    if (new := pseudonym(kind, text[a:b], key)) is not None:
+                        yield new, b
+                tried = max(tried, m.end())
+
+    while True:
+        m = _ANY.search(text, at)
+        if card and (m is None or m.start() >= card[0]):
+            start, found = card[0], (pseudonym("card", text[slice(*card)], key), card[1])
+        elif m:
+            start, found = m.start(), next(values(m), None)
+        else:
+            break
+        if found:
+            out += text[done:start], found[0]
+            done = at = found[1]
+            count += 1
+        else:
+            at = _TOKEN.match(text, start).end()
+        if card and card[0] < at:
+            card = None
+    out.append(text[done:])
+    return "".join(out), count
 
 
 def pseudonymise(key: str):

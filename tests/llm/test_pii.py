@@ -57,6 +57,53 @@ def test_what_does_not_validate_stays():
         assert pii.replaced(text, KEY) == (text, 0)
 
 
+CARD, AMEX, IBAN = "4539578763621486", "378282246310005", "DE89370400440532013000"
+
+
+@pytest.mark.parametrize(
+    "text, values",
+    [
+        (f"{CARD} 97.51.17.173", [CARD, "97.51.17.173"]),
+        (f"97.51.17.173 {CARD}", [CARD, "97.51.17.173"]),
+        (f"7 {CARD}", [CARD]),
+        (f"7-{CARD}", [CARD]),
+        (f"2024-{CARD}", [CARD]),
+        (f"1234 {CARD}", [CARD]),
+        ("4111 1111 1111 1111 12/27", ["4111 1111 1111 1111"]),
+        ("12/27 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+        ("4111-1111-1111-1111 123", ["4111-1111-1111-1111"]),
+        ("1 2 3 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+        ("3782 822463 10005 1234", ["3782 822463 10005"]),
+        (f"{AMEX} 2020-02-03", [AMEX, "2020-02-03"]),
+        (f"{CARD} {AMEX} 5500 0000 0000 0004", [CARD, AMEX, "5500 0000 0000 0004"]),
+        ("7 123-45-6789 4111 1111 1111 1111", ["123-45-6789", "4111 1111 1111 1111"]),
+        ("2021-02-30 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+        (f"{IBAN} {CARD}", [IBAN, CARD]),
+        (f"{IBAN} 12 AB", [IBAN]),
+        ("GB82 WEST 1234 5698 7654 32 VISA 4111 1111 1111 1111", ["GB82 WEST 1234 5698 7654 32", "4111 1111 1111 1111"]),
+        (f"AB12 {IBAN}", [IBAN]),
+        (f"AB12 {CARD}", [CARD]),
+    ],
+)
+def test_values_next_to_others(text, values):
+    wanted = text
+    for v in values:
+        wanted = wanted.replace(v, pii.replaced(v, KEY)[0])
+    assert pii.replaced(text, KEY) == (wanted, len(values)) and not any(v in wanted for v in values)
+
+
+def test_every_neighbour_leaves_the_card():
+    alone = pii.replaced(CARD, KEY)[0]
+    for n in range(1000):
+        for text in (f"{n} {{}}", f"{{}} {n}", f"{n}-{{}}", f"{n} {{}} {n}", f"{{}} {n}.51.17.999"):
+            assert pii.replaced(text.format(CARD), KEY) == (text.format(alone), 1)
+
+
+def test_lists_of_small_numbers_stay():
+    changed = sum(pii.replaced(" ".join(str(n + i) for i in range(12)), KEY)[1] > 0 for n in range(100, 900))
+    assert changed < 120  # one try in ten, as for any run of digits
+
+
 def test_long_runs_are_linear():
     import time
 
