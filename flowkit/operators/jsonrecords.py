@@ -48,9 +48,11 @@ def json_string_at(column: str, path: str) -> Column:
     return F.when(scalar, F.try_variant_get(value, "$", "string"))
 
 
-def infer_schema(df: DataFrame, column: str, sample_rows: int = 1000) -> T.StructType:
-    """The schema of JSON objects in a column, from at most ``sample_rows`` of them."""
-    lines = df.select(name(column).alias("line")).filter("line is not null").limit(sample_rows)
+def infer_schema(df: DataFrame, column: str, sample_rows: int | None = 1000) -> T.StructType:
+    """The schema of JSON objects in a column, from at most ``sample_rows`` of them (None: all, in one distributed pass)."""
+    lines = df.select(name(column).alias("line")).filter("line is not null")
+    if sample_rows is not None:
+        lines = lines.limit(sample_rows)
     return df.sparkSession.read.json(lines.rdd.map(lambda r: r.line)).schema
 
 

@@ -104,3 +104,12 @@ def test_running_total(spark, data):
 def test_mark_does_not_multiply(spark, rows):
     left, right = spark.createDataFrame([(1,), (2,), (None,)], "k long"), spark.createDataFrame([(1,), (1,), (None,)], "k long")
     assert rows(relational.mark(left, right, ["k"])) == [(1, True), (2, False), (None, False)]
+
+
+def test_json_infer_sees_every_row(spark, tmp_path):
+    from flowkit.queries.transforms import QUERIES
+
+    props = ['{"k": 1}'] * 1500 + ['{"k": 2.5}', '{"k": 3, "late": "x"}', None]
+    spark.createDataFrame(list(enumerate(props)), "event_id long, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    out = {r.event_id: r for r in QUERIES["json_infer"](spark, str(tmp_path)).filter("event_id = 0 or event_id >= 1500").collect()}
+    assert [(out[i].k, out[i].late) for i in sorted(out)] == [(1.0, None), (2.5, None), (3.0, "x"), (None, None)]
