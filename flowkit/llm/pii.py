@@ -13,6 +13,10 @@ number is one group of digits or groups as cards show them before it is all
 that the pattern found, and an IBAN has its country's length first. Inside a
 run of numbers, groups of under four digits make no card number unless cards
 are printed so; else nearly every list of small numbers would hold one by chance.
+
+Phone numbers are those with a country code, in any grouping, American ones
+without, and ten digits in pairs from a 0. Other national forms are not told from
+plain numbers. The pseudonym keeps the country code and permutes the national digits.
 """
 
 from __future__ import annotations
@@ -36,13 +40,12 @@ PATTERNS = {
     "date": r"(?<![\d.-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d-]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|(?<=[ .-])\d{3}[ .-]|(?<![\d.-])\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d{8,15}(?!\d)",
+    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|(?<=[ .-])\d{3}[ .-]|(?<![\d.-])\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d(?:[ ./()-]{0,2}\d){7,14}(?!\d)|(?<![\d.,+-])(?<!\d\d[ .-])0\d(?:(?: \d\d){4}|(?:\.\d\d){4}|(?:-\d\d){4})(?!\d|[ .-]\d\d(?!\d))",
     "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d])",
 }
 _ANY = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
 _KINDS = {k: re.compile(v) for k, v in PATTERNS.items()}
-_NO_CARD = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items() if k != "card"))
-_TOKEN, _DIGITS, _RUN = re.compile("[A-Za-z0-9]+"), re.compile(r"\d+"), re.compile(r"\d{1,20}(?:[ -]\d{1,20}){0,37}")
+_TOKEN, _DIGITS, _RUN = re.compile(r"\+?[A-Za-z0-9]+"), re.compile(r"\d+"), re.compile(r"\d{1,20}(?:[ -]\d{1,20}){0,37}")
 #: The groups of digits that cards show, and the length of an IBAN by its country (SWIFT's registry).
 CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 3, 3, 3), (4, 4, 5), (4, 4, 4, 4, 2), (4, 4, 4, 4, 3)}
 IBAN_LENGTHS = {c: n for n, countries in {
@@ -53,6 +56,10 @@ IBAN_LENGTHS = {c: n for n, countries in {
 }.items() for c in countries.split()}
 _MAYBE = re.compile("[0-9@]")
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+#: Country codes of one and two digits (E.164; all others have three), and national lengths that do not vary.
+_COUNTRY = re.compile(r"\+(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
+PHONE_LENGTHS = {"1": 10, "7": 10, "31": 9, "33": 9, "34": 9, "41": 9, "44": 10, "45": 8, "47": 8, "48": 9, "52": 10, "57": 10, "91": 10, "351": 9}
+_TRUNK = re.compile(r"0\d(?:[ .-]\d\d){4}")
 
 
 def permute(x: int, size: int, key: bytes, tweak: str) -> int:
@@ -113,6 +120,11 @@ def _shifted_letters(text: str, key: bytes, tweak: str) -> str:
     return "".join(reversed(out))
 
 
+def _trunk(value: str) -> int:
+    """Where a trunk 0 in brackets may stand in an international number."""
+    return re.match(r"[ .-]?", value[(at := _COUNTRY.match(value).end()) :]).end() + at
+
+
 @lru_cache(100_000)
 def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     """The pseudonym of a matched value, or None if it does not validate."""
@@ -149,8 +161,9 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
         area, group = divmod(n, 99)
         return f"{areas[area]:03d}-{group + 1:02d}-{serial + 1:04d}"
     if kind == "phone":
-        country = re.match(r"\+\d{1,3}(?=[ .-]|\()", value)
-        kept = len(country[0]) - 1 if country else 1 if value[0] == "+" else 0
+        # the country code and a trunk 0 stay, so that all ways to write a number share its national digits
+        country = _COUNTRY.match(value)
+        kept = len(country[1]) + value.startswith("(0)", _trunk(value)) if country else int(bool(_TRUNK.fullmatch(value)))
         rest = digits[kept:]
         return _spelled(value, digits[:kept] + f"{permute(int(rest), 10 ** len(rest), key, f'{kind}{len(rest)}'):0{len(rest)}d}")
     parts = [int(x) for x in re.split(r"[-/.]", value)]
@@ -170,6 +183,17 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     return f"{new.day:02d}{'/' if '/' in value else '.'}{new.month:02d}{'/' if '/' in value else '.'}{new.year}"
 
 
+def _other(text: str, start: int, end: int, but: str, key: bytes) -> int | None:
+    """Where the first value of a kind other than ``but`` begins behind a group of digits in a stretch."""
+    for a in (m.start() + start for m in _DIGITS.finditer(text[start:end])):
+        for kind in PATTERNS if a > start else ():
+            if kind == but or not (m := _KINDS[kind].match(text, a)):
+                continue
+            if kind == "card" and (_card(text, a, m.end(), False, key) or (0,))[0] == a or kind != "card" and pseudonym(kind, m[0], key):
+                return a
+    return None
+
+
 def _card(text: str, start: int, end: int, whole: bool, key: bytes) -> tuple[int, int] | None:
     """Where the card number stands in the digit groups that begin at ``start``; the card pattern ends at ``end``.
 
@@ -206,7 +230,7 @@ def _card(text: str, start: int, end: int, whole: bool, key: bytes) -> tuple[int
                 cards.append((rank, a, -b))
     for rank, a, b in sorted(cards):
         # odd groups yield to another value that begins among them
-        if rank < 3 or not any(m.start() < -b and pseudonym(m.lastgroup, m[0], key) for m in _NO_CARD.finditer(text, a + 1, 40 - b)):
+        if rank < 3 or _other(text, a, -b, "card", key) is None:
             return a, -b
     return None
 
@@ -220,6 +244,25 @@ def _iban(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     yield from ((start, b) for b in (ends[-1:] if known else reversed(ends)))
 
 
+def _phone(text: str, start: int, end: int, key: bytes) -> Iterator[tuple[int, int]]:
+    """Stretches from ``start`` that may be the phone number: of its country's length, then up to the next value of another kind."""
+    value = text[start:end]
+    country = _COUNTRY.match(value)
+    decimal = re.fullmatch(r"\+\d+(\.)\d+", value)
+    if country is None:
+        if not decimal:
+            yield start, end
+        return
+    ends = [m.end() for m in _DIGITS.finditer(value)]
+    extra = len(country[1]) + value.startswith("(0)", _trunk(value))
+    sizes = {b: sum(map(str.isdigit, value[:b])) for b in ends}
+    length = PHONE_LENGTHS.get(country[1])
+    yield from ((start, start + b) for b in ends if sizes[b] - extra == length and (not decimal or decimal.start(1) == country.end()))
+    if not decimal or decimal.start(1) == country.end() and not length:
+        other = _other(text, start + country.end(), end, "phone", key) or end
+        yield from ((start, start + b) for b in reversed(ends) if start + b <= other and sizes[b] >= 8)
+
+
 def replaced(text: str, key: bytes) -> tuple[str, int]:
     """``text`` with pseudonyms, and how many."""
     if not _MAYBE.search(text):
@@ -234,6 +277,8 @@ def replaced(text: str, key: bytes) -> tuple[str, int]:
         nonlocal card, bare
         if kind == "iban":
             yield from _iban(text, start, end)
+        elif kind == "phone":
+            yield from _phone(text, start, end, key)
         elif kind != "card":
             yield start, end
         elif start >= bare:

@@ -92,6 +92,38 @@ def test_values_next_to_others(text, values):
     assert pii.replaced(text, KEY) == (wanted, len(values)) and not any(v in wanted for v in values)
 
 
+def test_phones_link_however_written():
+    def national(text, code, trunk=""):
+        new, n = pii.replaced(text, KEY)
+        kept = code + trunk
+        digits = "".join(c for c in new if c.isdigit())
+        assert n == 1 and digits.startswith(kept) and [c for c in new if not c.isdigit()] == [c for c in text if not c.isdigit()]
+        return digits[len(kept) :]
+
+    for code, forms in {
+        "49": ["+493015557713", "+49 301 555-7713", "+49 (301) 555-7713", "+49 30 15557713", "+49 30/155577-13"],
+        "33": ["+33612345678", "+33 6 12 34 56 78", "+33 6.12.34.56.78"],
+        "1": ["+10175557713", "+1 (017) 555-7713", "+1 017 5557713"],
+        "351": ["+351912345678", "+351 912 345 678"],
+    }.items():
+        assert len({national(x, code) for x in forms}) == 1
+    assert national("06 12 34 56 78", "", "0") == national("+33 (0)6 12 34 56 78", "33", "0") == national("+33 6 12 34 56 78", "33")
+    assert national("(017) 555-7713", "") == national("+10175557713", "1")
+    assert pii.replaced("+49 30 1234567", KEY)[1] == 1
+
+
+@pytest.mark.parametrize("phone, other", [("+33 6 12 34 56 78", "12 rue"), ("+33 6 12 34 56 78", CARD), ("+49 30 1234567", "2020-02-03"), ("+49 30 1234567", "97.51.17.173"), ("+1 017 5557713", "4111 1111 1111 1111")])
+def test_phones_next_to_others(phone, other):
+    (a, n), (b, k) = pii.replaced(phone, KEY), pii.replaced(other, KEY)
+    assert pii.replaced(f"{phone} {other}", KEY) == (f"{a} {b}", n + k)
+
+
+def test_plus_signs_that_begin_no_phone():
+    for text in ("+12.3456789", "+0.123456789", "+1234.56789"):
+        assert pii.replaced(text, KEY) == (text, 0)
+    assert pii.replaced("+1 4111 1111 1111 1111", KEY)[0] == "+1 " + pii.replaced("4111 1111 1111 1111", KEY)[0]
+
+
 def test_every_neighbour_leaves_the_card():
     alone = pii.replaced(CARD, KEY)[0]
     for n in range(1000):
