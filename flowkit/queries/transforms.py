@@ -47,7 +47,7 @@ def src_generator(spark, sf):
 @query("snk_csv_roundtrip", "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part")
 def snk_csv_roundtrip(spark, sf):
     path = scratch(spark, "csv")
-    sinks.csv(table(spark, sf, "part"), path, single_file=True)
+    sinks.csv(table(spark, sf, "part"), path)
     return files.csv(spark, path, infer_rows=0)
 
 

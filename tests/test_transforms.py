@@ -113,3 +113,21 @@ def test_json_infer_sees_every_row(spark, tmp_path):
     spark.createDataFrame(list(enumerate(props)), "event_id long, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     out = {r.event_id: r for r in QUERIES["json_infer"](spark, str(tmp_path)).filter("event_id = 0 or event_id >= 1500").collect()}
     assert [(out[i].k, out[i].late) for i in sorted(out)] == [(1.0, None), (2.5, None), (3.0, "x"), (None, None)]
+
+
+def test_csv_roundtrip_writes_a_file_per_partition(spark, tmp_path, monkeypatch):
+    from flowkit.queries import transforms
+    from flowkit.sinks import files as sinks
+
+    parts = spark.range(40).selectExpr("id AS p_partkey", "concat('part ', id) AS p_name").repartition(4, "p_partkey")
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(transforms, "scratch", lambda *_: f"{tmp_path}/out")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert transforms.QUERIES["snk_csv_roundtrip"](spark, str(tmp_path)).count() == 40
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(list((tmp_path / "out").rglob("part-*.csv"))) > 1
+    sinks.csv(parts, f"{tmp_path}/one", single_file=True)
+    assert len(list((tmp_path / "one").rglob("part-*.csv"))) == 1
