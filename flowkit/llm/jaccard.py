@@ -14,13 +14,16 @@ cuts emit signatures for their empty ranges. No linked pair is lost.
 Equal sets are one class and are compared once. Rows of one signature are met
 in sorted order and stream through with constant memory. In a group of up to
 NEAR + 1 every pair is a candidate; in a larger one each row is paired with the
-first and with the one before it, which joins most true groups to components.
-Groups that are then still of several components are compared completely, but
-on parity sketches: bit i of a sketch tells whether range i of the domain holds
-an odd number of elements, so two sets differ in no fewer elements than their
-sketches differ in bits. Only pairs of different components that this bound
-admits become candidates. A task holds the sketches of at most 2 * BLOCK
-members of a group; groups beyond BLOCK are compared block against block.
+first and with the one before it, which joins most true groups to components;
+where a task signs many sets of one signature it pairs most of them itself.
+Groups that are then still of several components are completed. First on parity
+sketches: bit i of a sketch tells whether range i of the domain holds an odd
+number of elements, so two sets differ in no fewer elements than their sketches
+differ in bits. Members that this bound keeps from every member of another
+component drop out. The others come with their sets: pairs of different
+components that the bounds admit are tested exactly, and each link found joins
+its two components at once, so fewer links leave a group than it has members. A task
+holds two blocks of a group; larger groups are compared block against block.
 """
 
 from __future__ import annotations
@@ -33,14 +36,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import small_keys, written
 from .components import components
 from .words import U64, mix, shingle_sets, signed
 
 NEAR = 4
-BLOCK = 1 << 14
+#: Most members of a group whose sketches, and most bytes of members' sets, make one block; a task holds two.
+BLOCK, BLOCK_BYTES = 1 << 11, 1 << 24
 _SECOND_CUT = U64(0x5851F42D4C957F2D)
 
 
@@ -170,47 +173,130 @@ def similar(num: int, den: int):
     return similar
 
 
-def _compared(num: int, den: int):
-    """Rows (sig, x, y, block, doc, component, size, sketch) sorted by sig, x, y -> plausible pairs (a, b).
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows sorted by their first ``keys`` columns -> (those columns, the others of all rows that share them)."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:keys], []
+            rows.append(row[keys:])
+    if rows:
+        yield key, rows
+
+
+def _sides(block: np.ndarray, key: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of block x and those of block y; all pairs of a block where both are the same."""
+    _, x, y = key
+    return np.flatnonzero(block == x), np.flatnonzero(block == y)
 
-    x = y: all pairs of a block; x < y: members of block x against those of block y.
-    """
 
-    def compare(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        block, doc, comp, size = (np.array([r[i] for r in rows], np.int64) for i in range(4))
+def _hopeful(num: int, den: int):
+    """Rows (sig, x, y, block, doc, component, size, sketch) sorted by sig, x, y -> (sig, doc, component) of members
+    that the bounds admit to a link with a member of another component: no more rows than were read."""
+
+    def chosen(key: tuple, rows: list[tuple]) -> np.ndarray:
+        block, comp, size = (np.array([r[i] for r in rows], np.int64) for i in (0, 2, 3))
         width = min(len(r[4]) for r in rows)
         bits = np.stack([_folded(np.frombuffer(r[4], np.uint8), width) for r in rows]).view(U64)
-        left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-        found = [np.zeros((0, 2), np.int64)]
-        step = max(1, (1 << 19) // (len(right) * bits.shape[1]))
-        for i in range(0, len(left), step):
-            at = left[i : i + step]
-            apart = np.bitwise_count(bits[at][:, None] ^ bits[right][None]).sum(2, dtype=np.int64)
-            sums = size[at][:, None] + size[right][None]
-            least = np.minimum(size[at][:, None], size[right][None])
-            ok = (apart <= (den - num) * sums // (den + num)) & (den * least >= num * (sums - least)) & (comp[at][:, None] != comp[right][None])
-            ok &= doc[at][:, None] < doc[right][None] if block.min() == block.max() else True
-            a, b = np.nonzero(ok)
-            found.append(np.stack([doc[at[a]], doc[right[b]]], 1))
-        found = np.concatenate(found)
-        return found.min(1), found.max(1)
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-        for batch in batches:
-            for *now, block, doc, comp, size, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now != key:
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in compare(rows)], ["a", "b"])
-                    key, rows = now, []
-                rows.append((block, doc, comp, size, bits))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in compare(rows)], ["a", "b"])
+        left, right = _sides(block, key)
+        found = np.zeros(len(rows), bool)
+        # rows of the commonest component meet only the others
+        values, counts = np.unique(comp, return_counts=True)
+        main = comp == values[counts.argmax()]
+        for some, others in ((left[~main[left]], right), (left[main[left]], right[~main[right]])):
+            step = max(1, (1 << 19) // max(1, len(others) * bits.shape[1]))
+            for i in range(0, len(some) if len(others) else 0, step):
+                at = some[i : i + step]
+                apart = np.bitwise_count(bits[at][:, None] ^ bits[others][None]).sum(2, dtype=np.int64)
+                ok = _admitted(apart, size[at][:, None], size[others][None], num, den) & (comp[at][:, None] != comp[others][None])
+                found[at] |= ok.any(1)
+                found[others] |= ok.any(0)
+        return found
+
+    def hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _groups(batches, 3):
+            found = [rows[i] for i in np.flatnonzero(chosen(key, rows)).tolist()]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found)), pa.array([r[1] for r in found]), pa.array([r[2] for r in found])], ["sig", "doc", "component"])
+
+    return hopeful
+
+
+def _uniting(num: int, den: int):
+    """Rows (sig, x, y, block, doc, component, set) sorted by sig, x, y -> links (a, b), fewer than members.
+
+    Every pair of members of different components is either tested exactly or
+    becomes one component by links that are given.
+    """
 
-    return stream
+    def links(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
+        block, doc, root = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+        sets = [np.frombuffer(r[3], U64) for r in rows]
+        size = np.array([len(u) for u in sets])
+        bits = [sketch(u) for u in sets]
+        width = min(len(x) for x in bits)
+        bits = np.stack([_folded(x, width) for x in bits]).view(U64)
+        left, right = _sides(block, key)
+        found = []
+        for i in left.tolist():
+            others = right[root[right] != root[i]]
+            apart = np.bitwise_count(bits[i] ^ bits[others]).sum(1, dtype=np.int64)
+            others = others[_admitted(apart, size[i], size[others], num, den)]
+            while len(others):
+                now, others = others[:64], others[64:]
+                both = _shared(sets[i], [sets[j] for j in now.tolist()])
+                for j in now[den * both >= num * (size[i] + size[now] - both)].tolist():
+                    if root[i] != root[j]:
+                        found.append((int(doc[i]), int(doc[j])))
+                        root[root == root[j]] = root[i]
+                others = others[root[others] != root[i]]
+        return found
+
+    def uniting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _groups(batches, 3):
+            found = np.array(links(key, rows), np.int64).reshape(-1, 2)
+            if len(found):
+                yield pa.RecordBatch.from_arrays([pa.array(found.min(1)), pa.array(found.max(1))], ["a", "b"])
+
+    return uniting
+
+
+def _admitted(apart, size, other, num: int, den: int):
+    """Whether the bounds by sketch bits that differ and by sizes admit a link."""
+    return (apart <= (den - num) * (size + other) // (den + num)) & (den * np.minimum(size, other) >= num * np.maximum(size, other))
+
+
+def _shared(u: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements of the sorted set ``u`` each of the sets (none empty) has."""
+    flat = np.concatenate(others)
+    at = np.minimum(np.searchsorted(u, flat), len(u) - 1)
+    return np.add.reduceat(u[at] == flat, np.cumsum([0, *(len(v) for v in others[:-1])]), dtype=np.int64)
 
 
 def _signed_rows(n: int, num: int, den: int):
+    """(doc, text) -> (sig, doc, head): the signatures of each set.
+
+    Of a signature that more than NEAR + 2 sets of a batch have, only the first
+    NEAR + 2 go on as they are, enough to show below that the group is large;
+    the others already name the document before them as ``head``, and need not
+    meet the rest of their group.
+    """
+
+    def made(sig: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(sig, kind="stable")
+        at = np.arange(len(sig))
+        s = sig[order]
+        rank = at - np.maximum.accumulate(np.where(np.r_[True, s[1:] != s[:-1]], at, 0))
+        late = np.flatnonzero(rank >= NEAR + 2)
+        head = np.zeros(len(sig), np.int64)
+        head[order[late]] = doc[order[late - 1]]
+        bare = np.ones(len(sig), bool)
+        bare[order[late]] = False
+        return pa.RecordBatch.from_arrays([signed(sig), pa.array(doc), pa.array(head, mask=bare)], ["sig", "doc", "head"])
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, held, owners, count = np.asarray(batch.column(0)), [], [], 0
@@ -220,19 +306,27 @@ def _signed_rows(n: int, num: int, den: int):
                 owners.append(np.full(len(s), i, np.int64))
                 count += len(s)
                 if count > 50_000:
-                    yield pa.RecordBatch.from_arrays([signed(np.concatenate(held)), pa.array(np.concatenate(owners))], ["sig", "doc"])
+                    yield made(np.concatenate(held), np.concatenate(owners))
                     held, owners, count = [], [], 0
             if count:
-                yield pa.RecordBatch.from_arrays([signed(np.concatenate(held)), pa.array(np.concatenate(owners))], ["sig", "doc"])
+                yield made(np.concatenate(held), np.concatenate(owners))
 
     return sign
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, doc) sorted -> (sig null, a, b) for pairs; (sig, doc, null) for members of large groups."""
+    """Rows (sig, doc, head) sorted -> (sig null, a, b) for pairs; (sig, doc, null) for members of large groups."""
     sig, doc = np.zeros(0, np.int64), np.zeros(0, np.int64)
     first, skipped = 0, 0  # of the group that is still open: its first document, rows before those kept
     for batch in batches:
+        if batch.num_rows > batch.column(2).null_count:
+            # met in the task that signed them
+            known = batch.filter(batch.column(2).is_valid())
+            none, (far, here, head) = pa.nulls(known.num_rows, pa.int64()), known.columns
+            differ = np.asarray(here) != np.asarray(head)
+            yield pa.RecordBatch.from_arrays([none.slice(0, int(differ.sum())), head.filter(pa.array(differ)), here.filter(pa.array(differ))], ["sig", "a", "b"])
+            yield pa.RecordBatch.from_arrays([far, here, none], ["sig", "a", "b"])
+            batch = batch.filter(batch.column(2).is_null())
         old = len(sig)
         sig, doc = np.concatenate([sig, np.asarray(batch.column(0))]), np.concatenate([doc, np.asarray(batch.column(1))])
         if not len(sig):
@@ -307,31 +401,51 @@ class JaccardJoin:
         named = some.join(written(least, "copied"), ["n", "hi", "lo"], "left")
         return named.select("doc", F.col("n").alias("size"), F.coalesce("least", "doc").alias("class")).union(keyed.filter("n = 0").select("doc", "n", F.lit(None).cast("long")))
 
+    def blocks(self, members: DataFrame, load: str, most: int) -> DataFrame:
+        """``members`` (sig, doc, ..) as (sig, x, y, block, ..): a row for each pair of blocks x <= y that holds its block.
+
+        A group has a block for each ``most`` of the sum of ``load``; which one
+        a document is in, its hash says. Groups of one block are not exploded.
+        """
+        sizes = members.groupBy("sig").agg(F.ceil(F.sum(load) / most).cast("int").alias("n"), F.count("*").alias("k")).filter("k > 1").drop("k")
+        placed = members.join(sizes, "sig").withColumn("block", F.pmod(F.xxhash64("doc"), F.col("n")).cast("int"))
+        others = F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("n") - 1))
+        placed = placed.withColumn("other", F.explode(others))
+        rest = [c for c in members.columns if c != "sig"]
+        return placed.select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", *rest)
+
+    def completed(self, groups: DataFrame) -> DataFrame:
+        """Links (a, b) that join what can be joined of these groups (sig, doc, component) of several components."""
+        facts = self.facts(written(groups.select("doc").distinct(), "ids"))
+        by_block = ("sig", "x", "y")
+        rows = self.blocks(groups.join(facts.select("doc", "size", "sketch"), "doc").withColumn("one", F.lit(1)), "one", BLOCK).drop("one")
+        left = rows.repartition(*by_block).sortWithinPartitions(*by_block).mapInArrow(_hopeful(self.num, self.den), "sig long, doc long, component long")
+        left = written(left.distinct(), "hopeful")
+        # groups of the same members are compared once
+        alike = left.groupBy("sig").agg(F.count("*").alias("k"), *(F.bit_xor(F.xxhash64("doc", F.lit(i))).alias(f"h{i}") for i in (0, 1)))
+        left = left.join(alike.groupBy("k", "h0", "h1").agg(F.min("sig").alias("sig")).select("sig"), "sig")
+        rows = self.blocks(left.join(facts.select("doc", "set", F.octet_length("set").alias("bytes")), "doc"), "bytes", BLOCK_BYTES)
+        rows = rows.select(*by_block, "block", "doc", "component", "set")
+        return rows.repartition(*by_block).sortWithinPartitions(*by_block).mapInArrow(_uniting(self.num, self.den), "a long, b long").distinct()
+
     def linked(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(classes, links between class representatives, components of the representatives)."""
         classes = written(self.classes(), "classes")
         others = classes.filter("class is null or class <> doc").select("doc")
         sets = self.docs.join(small_keys(others), "doc", "left_anti")
-        signed_docs = sets.mapInArrow(_signed_rows(self.n, self.num, self.den), "sig long, doc long")
-        met = written(signed_docs.repartition("sig").sortWithinPartitions("sig", "doc").mapInArrow(_paired, "sig long, a long, b long"), "met")
+        signed_docs = sets.mapInArrow(_signed_rows(self.n, self.num, self.den), "sig long, doc long, head long")
+        # rows that know their head need no meeting: dealt out by document, they make no hot key
+        met = signed_docs.repartition("sig", F.when(F.col("head").isNotNull(), F.col("doc"))).sortWithinPartitions("sig", "doc")
+        met = written(met.mapInArrow(_paired, "sig long, a long, b long"), "met")
         links = written(self.verified(met.filter("sig is null").select("a", "b")), "links")
         comps = written(components(links), "components")
         groups = met.filter("sig is not null").select("sig", F.col("a").alias("doc")).distinct()
         named = groups.join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        split = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members")).filter("x < y")
-        split = written(named.join(split.select("sig", "members"), "sig"), "groups")
+        split = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
+        split = written(named.join(split.select("sig"), "sig"), "groups")
         if split.isEmpty():
             return classes, links, comps
-        facts = self.facts(written(split.select("doc").distinct(), "ids"))
-        # one block each for all but huge groups
-        last = F.floor((F.col("members") - 1) / BLOCK).cast("int")
-        place = F.when(last == 0, 0).otherwise(F.floor((F.row_number().over(Window.partitionBy("sig").orderBy("component", "doc")) - 1) / BLOCK)).cast("int")
-        small = split.filter(F.col("members") <= BLOCK).select("sig", F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("block"), "doc", "component")
-        large = split.filter(F.col("members") > BLOCK).withColumn("block", place)
-        large = large.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc", "component")
-        rows = small.union(large).join(facts.select("doc", "size", "sketch"), "doc").select("sig", "x", "y", "block", "doc", "component", "size", "sketch")
-        pairs = rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(_compared(self.num, self.den), "a long, b long")
-        links = written(links.union(self.verified(pairs)), "links")
+        links = written(links.union(self.completed(split)), "links")
         return classes, links, written(components(links), "components")
 
 
