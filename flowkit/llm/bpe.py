@@ -5,13 +5,18 @@ always ends a match: before an ASCII space or newline that follows a character
 which is not white space. No match of the pattern reaches from a non-space to a
 space, and its only look-ahead stays inside a run of white space, so the pieces
 encode exactly as the whole text does while memory and time per call stay
-bounded. Decoding concatenates raw bytes, so token boundaries inside a
-character do no harm.
+bounded. A run of white space longer than a piece, on which the pattern's
+look-ahead would exhaust the library's stack, is one match up to its last
+character (to its end at the end of a text), and is encoded as that one match.
+Decoding concatenates raw bytes, so token boundaries inside a character do no
+harm.
 """
 
 from __future__ import annotations
 
 import base64
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -20,6 +25,8 @@ import tiktoken
 from pyspark.sql import functions as F
 
 PIECE = 1 << 16
+# The characters of Unicode's property White_Space.
+_SPACES = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 @lru_cache(4)
@@ -29,6 +36,12 @@ def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(4)
+def whole(bpe: tiktoken.Encoding) -> tiktoken.Encoding:
+    """The same ranks, with any text one match."""
+    return tiktoken.Encoding("whole", pat_str=r"[\s\S]+", mergeable_ranks=bpe._mergeable_ranks, special_tokens={})
+
+
 def pieces(text: str, size: int = PIECE) -> list[str]:
     """``text`` cut at safe boundaries, each at or after ``size`` characters."""
     out, lo = [], 0
@@ -41,11 +54,24 @@ def pieces(text: str, size: int = PIECE) -> list[str]:
     return [*out, text[lo:]]
 
 
+def parts(text: str, size: int = PIECE) -> Iterator[tuple[bool, str]]:
+    """``text`` in parts that encode separately: (True, one match of white space) or (False, a piece to split by the pattern)."""
+    lo = 0
+    for run in re.finditer(f"{_SPACES}{{{size + 1},}}", text):
+        if run.start() > lo:
+            yield from ((False, x) for x in pieces(text[lo : run.start()], size))
+        lo = run.end() - (run.end() < len(text))  # the last blank may belong to the word behind it
+        yield True, text[run.start() : lo]
+    if lo < len(text):
+        yield from ((False, x) for x in pieces(text[lo:], size))
+
+
 def token_ids(bpe: tiktoken.Encoding, text: str, size: int = PIECE) -> np.ndarray:
     """The ids of a text as little-endian 32-bit integers; special-token strings are ordinary text."""
     if len(text) <= size:
         return np.array(bpe.encode_ordinary(text), "<u4")
-    return np.concatenate([np.array(bpe.encode_ordinary(x), "<u4") for x in pieces(text, size)])
+    found = [np.array((whole(bpe) if one else bpe).encode_ordinary(x), "<u4") for one, x in parts(text, size)]
+    return np.concatenate(found)
 
 
 def encode(path: str, pattern: str, size: int = PIECE):
