@@ -1,14 +1,18 @@
 """Vectorised word and n-gram hashing over Arrow string columns.
 
-A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. All hashes are
-64-bit polynomial hashes taken from prefix sums, so the cost per byte does not
-depend on the n-gram length, and long texts are worked through in blocks.
+A word is a maximal run of bytes other than 0x20 and 0x09-0x0D. Hashes of short
+words and of n-grams are 64-bit polynomial hashes taken from prefix sums, so the
+cost per byte does not depend on the n-gram length, and long texts are worked
+through in blocks. Polynomials modulo 2**64 are weak on long sequences of two
+values in Thue-Morse order; so words over LONG bytes and whole texts are hashed
+by BLAKE2 instead, and n-grams are meant for some dozens of words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -18,6 +22,8 @@ import pyarrow.compute as pc
 U64 = np.uint64
 #: Bytes of texts that are worked through at once, and of those the bytes that are hashed at once.
 SLAB, CHUNK = 1 << 18, 1 << 17
+#: Bytes beyond which a word is hashed by BLAKE2.
+LONG = 32
 _BYTE_BASE = 0x9E3779B97F4A7C15
 _WORD_BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 _SPACE = np.zeros(256, bool)
@@ -114,6 +120,9 @@ def words(buf: np.ndarray, bounds: np.ndarray, lower: bool = False, affixes: tup
             s2, e2 = (s, np.minimum(s + n, e)) if side == "pre" else (np.maximum(e - n, s), e)
             into[lo:hi] = mix((sums[e2] - sums[s2]) * back[s2] + U64(n + (101 if side == "suf" else 0)))
         lo = hi
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        word = buf[start[i] : end[i]].tobytes()
+        out[i] = int.from_bytes(blake2b(word.lower() if lower else word, digest_size=8).digest(), "little")
     return Words(out, start, end, np.searchsorted(start, bounds), affix)
 
 

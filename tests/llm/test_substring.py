@@ -51,3 +51,15 @@ def test_empty_table_repeated_rows_and_null_ids(spark, docs_of, sentence):
     assert substring.repeated_spans(docs_of(spark, [(None, t), (4, t)]), 50).count() == 0
     with pytest.raises(ValueError):
         substring.repeated_spans(docs, 30)
+
+
+def thue_morse(a, b, n):
+    return [(a, b)[bin(i).count("1") % 2] for i in range(n)]
+
+
+def test_sequences_on_which_polynomial_hashes_collide(spark, docs_of):
+    """Texts, and words, of two values in Thue-Morse order and its complement share nothing."""
+    texts = {1: " ".join(f"u{i}{x}" for i, x in enumerate(thue_morse("a", "b", 8192))), 2: " ".join(f"u{i}{x}" for i, x in enumerate(thue_morse("b", "a", 8192)))}
+    words = ["".join(thue_morse(a, b, 4096)) for a, b in ("ab", "ba")]
+    texts |= {3 + k: " ".join(f"{w} t{i}" for i in range(40)) for k, w in enumerate(words)}
+    assert {i: n for i, (_, n, _) in run(docs_of(spark, texts), 50).items()} == dict.fromkeys(texts, 0)

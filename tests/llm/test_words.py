@@ -50,3 +50,11 @@ def test_long_words_and_blocks():
 def test_sliced_array():
     arr = pa.array(["skip", "a b", None, "c"])[1:]
     assert [len(u) for u in shingle_sets(arr, 2)] == [1, 0, 1]
+
+
+def test_long_words_keep_their_case_apart():
+    """Words over LONG bytes go by the same rules as short ones."""
+    word = "Thue-Morse/" * 9
+    same, lower, cut = (words(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)])).hash[0] for x in (word, word.lower(), word[:-1]))
+    assert len({same, lower, cut}) == 3
+    assert words(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word)]), lower=True).hash[0] == lower
