@@ -86,8 +86,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every test item found in a document, with its edit distance there."""
-    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return docs.select("doc_id", F.explode(decontam.found_in(F.col("text"), benchmark)).alias("m")).select("doc_id", "m.item_id", "m.distance", "m.stop")
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
