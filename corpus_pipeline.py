@@ -29,7 +29,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item occurs."""
-    return docs.filter(F.size(decontam.found_in(F.col("text"), table(spark, sf_dir, "benchmark"))) == 0)
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +45,9 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text that decoding them gives."""
     bounded_batches(spark)
     path, pattern = tokenizer()
-    ids = docs.select("doc_id", "lang", "source", bpe.round_trip(path, pattern)("text").alias("e"))
-    return ids.select("doc_id", "lang", "source", "e.n_tokens", "e.ids", F.decode("e.decoded", "UTF-8").alias("text"))
+    kept = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
+    ids = docs.select(*kept, bpe.round_trip(path, pattern)("text").alias("e"))
+    return ids.select(*kept, "e.n_tokens", "e.ids", F.decode("e.decoded", "UTF-8").alias("text"))
 
 
 STAGES = [
