@@ -17,6 +17,7 @@ are printed so; else nearly every list of small numbers would hold one by chance
 Phone numbers are those with a country code, in any grouping, American ones
 without, and ten digits in pairs from a 0. Other national forms are not told from
 plain numbers. The pseudonym keeps the country code and permutes the national digits.
+Digits are those of ASCII: numbers in other scripts' digits are not looked for.
 """
 
 from __future__ import annotations
@@ -43,9 +44,9 @@ PATTERNS = {
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|(?<=[ .-])\d{3}[ .-]|(?<![\d.-])\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\d+])\+\d(?:[ ./()-]{0,2}\d){7,14}(?!\d)|(?<![\d.,+-])(?<!\d\d[ .-])0\d(?:(?: \d\d){4}|(?:\.\d\d){4}|(?:-\d\d){4})(?!\d|[ .-]\d\d(?!\d))",
     "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?![\d])",
 }
-_ANY = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()))
-_KINDS = {k: re.compile(v) for k, v in PATTERNS.items()}
-_TOKEN, _DIGITS, _RUN = re.compile(r"\+?[A-Za-z0-9]+"), re.compile(r"\d+"), re.compile(r"\d{1,20}(?:[ -]\d{1,20}){0,37}")
+_ANY = re.compile("|".join(f"(?P<{k}>{v})" for k, v in PATTERNS.items()), re.A)
+_KINDS = {k: re.compile(v, re.A) for k, v in PATTERNS.items()}
+_TOKEN, _DIGITS, _RUN = re.compile(r"\+?[A-Za-z0-9]+"), re.compile(r"\d+", re.A), re.compile(r"\d{1,20}(?:[ -]\d{1,20}){0,37}", re.A)
 #: The groups of digits that cards show, and the length of an IBAN by its country (SWIFT's registry).
 CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 3, 3, 3), (4, 4, 5), (4, 4, 4, 4, 2), (4, 4, 4, 4, 3)}
 IBAN_LENGTHS = {c: n for n, countries in {
@@ -319,7 +320,9 @@ def replaced(text: str, key: bytes) -> tuple[str, int]:
 
 
 def pseudonymise(key: str):
-    """Column function: text -> struct<text, n_replaced>. A null text stays null, with 0; ``key`` is the secret."""
+    """Column function: text -> struct<text, n_replaced>. A null text stays null, with 0; ``key`` is the secret, not empty."""
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
     secret = blake2b(key.encode()).digest()
 
     @F.arrow_udf("struct<text:string,n_replaced:long>")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,9 @@ TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 URL_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
+_RANDOM_KEYS: dict[str, str] = {}
+
+
 def tokenizer() -> tuple[str, str]:
     """Path and pattern of the rank file; a parameter of the operators."""
     import public_tokenizers
@@ -23,8 +27,13 @@ def tokenizer() -> tuple[str, str]:
 
 
 def pii_key(spark: SparkSession) -> str:
-    """The secret of the pseudonyms: a setting, so that it is in no code."""
-    return spark.conf.get("spark.flowkit.pii.key", "no key was set")
+    """The secret of the pseudonyms: the setting spark.flowkit.pii.key, so that it is in no code.
+
+    Without the setting it is drawn at random for the Spark application and kept
+    nowhere: pseudonyms then link the documents of one application alone.
+    """
+    app = spark.sparkContext.applicationId
+    return spark.conf.get("spark.flowkit.pii.key", None) or _RANDOM_KEYS.setdefault(app, secrets.token_hex(32))
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,3 +152,16 @@ def test_column(spark, docs_of, odd_texts):
     assert all(out[i].text == t and out[i].n_replaced == 0 for i, t in enumerate(odd_texts))
     assert out[n].text.split()[1] == out[n + 1].text.split()[0] != "ana@b.com"
     assert docs_of(spark, texts).limit(0).select(pii.pseudonymise("k")("text")).count() == 0
+
+
+def test_digits_of_other_scripts_are_left_alone():
+    date = "\u0662\u0660\u0662\u0660-\u0660\u0663-\u0662\u0665"
+    for text in (date, f"{date} and 7", f"7 {date}"):
+        assert pii.replaced(text, b"k") == (text, 0)
+
+
+def test_one_pseudonym_for_spellings_of_a_number():
+    """With and without grouping, for country codes of one to three digits."""
+    for spellings in (("+442071234567", "+44 207 123 4567", "+44-20-7123-4567"), ("+12125550123", "+1 (212) 555-0123"), ("+351912345678", "+351 912 345 678")):
+        new = {"".join(c for c in pii.replaced(f"call {x} now", b"k")[0] if c.isdigit()) for x in spellings}
+        assert len(new) == 1

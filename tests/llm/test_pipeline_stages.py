@@ -1,8 +1,10 @@
 import re
 
+import pytest
+
 import corpus_pipeline
 from flowkit.llm import decontam, jaccard, pii
-from flowkit.llm.queries import QUERIES, tokenizer
+from flowkit.llm.queries import QUERIES, pii_key, tokenizer
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,7 +44,7 @@ def test_stages(spark, tmp_path, sentence):
         if name == "pii":
             assert all(r.n_chars == len(r.text) for r in seen[name].values() if r.text is not None)
             assert seen[name].keys() == texts.keys() and "jo.doe77" not in seen[name][10_004].text and "4111111111111111" not in seen[name][10_004].text
-            assert seen[name][10_004].text == pii.replaced(texts[10_004], pii.blake2b(b"no key was set").digest())[0]
+            assert seen[name][10_004].text == pii.replaced(texts[10_004], pii.blake2b(pii_key(spark).encode()).digest())[0]
     assert 10_002 in seen["near_duplicates"] and 10_003 not in seen["near_duplicates"]
     assert {10_005, 10_006} <= set(seen["bpe"]) and all(r.text == (seen["pii"][i].text or "") for i, r in seen["bpe"].items())
     assert tokenizer()[0].endswith(".tiktoken")
@@ -51,3 +53,14 @@ def test_stages(spark, tmp_path, sentence):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 100 and set(out.columns) == {"doc_id", "lang", "source", "n_tokens", "ids", "text"}
+
+
+def test_key(spark):
+    """A key of one's own, or a random one for the application; never a public one."""
+    drawn = pii_key(spark)
+    assert len(drawn) == 64 and drawn == pii_key(spark)
+    spark.conf.set("spark.flowkit.pii.key", "mine")
+    assert pii_key(spark) == "mine"
+    spark.conf.unset("spark.flowkit.pii.key")
+    with pytest.raises(ValueError):
+        pii.pseudonymise("")
