@@ -7,7 +7,7 @@ and whose ancillary space holds the bytes. ``read`` takes any MPEG-1, 2 or 2.5
 stream of layers I to III: it skips and parses ID3 tags, finds frame headers
 (and finds them again after damage: a header counts if the one that should
 follow it is there too, or the stream ends), parses Xing and VBRI tables,
-verifies the CRC of Layer III frames, and gives the exact duration in samples
+verifies the CRC of frames of all three layers, and gives the exact duration in samples
 and the offset of every frame. Free-format streams (bit rate index 0) are not
 recognised as frames.
 """
@@ -43,6 +43,9 @@ class Header(NamedTuple):
     kind: int  # bits that stay the same through a stream: version, layer, sample rate
     crc: bool
     side: int  # bytes of Layer III side information
+    channels: int
+    bound: int  # subbands below it have an allocation for each channel
+    allocations: tuple[int, ...]  # bits of a subband's allocation, layers I and II
 
 
 @lru_cache(4096)
@@ -62,20 +65,55 @@ def header(bits: int) -> Header | None:
         length = samples // 8 * bps // hertz + pad
     mono = bits >> 6 & 3 == 3
     side = 0 if layer < 3 else (17 if mono else 32) if first else (9 if mono else 17)
-    return Header(length, samples, hertz, layer, bits & 0xFFFE0C00, not bits >> 16 & 1, side)
+    allocations = () if layer == 3 else (4,) * 32 if layer == 1 else _layer2_bits(first, hertz, bps // (1000 if mono else 2000))
+    bound = 0 if mono else min(len(allocations), 4 * (bits >> 4 & 3) + 4) if bits >> 6 & 3 == 1 else len(allocations)
+    return Header(length, samples, hertz, layer, bits & 0xFFFE0C00, not bits >> 16 & 1, side, 1 if mono else 2, bound, allocations)
+
+
+# Runs of (bits, subbands) of the Layer II allocation tables; the last is that of MPEG-2.
+LAYER2_TABLES = (((4, 11), (3, 12), (2, 4)), ((4, 11), (3, 12), (2, 7)), ((4, 2), (3, 6)), ((4, 2), (3, 10)), ((4, 4), (3, 7), (2, 19)))
+
+
+def _layer2_bits(first: bool, hertz: int, rate: int) -> tuple[int, ...]:
+    """The allocation table of Layer II for the kbit/s of one channel."""
+    if not first:
+        which = 4
+    elif rate <= 48:
+        which = 3 if hertz == 32000 else 2
+    else:
+        which = 0 if hertz == 48000 or rate <= 80 else 1
+    return tuple(bits for bits, n in LAYER2_TABLES[which] for _ in range(n))
+
+
+def protected(frame: bytes, h: Header) -> tuple[int, int]:
+    """(number, how many bits) of what a frame's CRC covers behind its header: side information, or allocations and scale factor choices."""
+    if h.layer == 3:
+        return int.from_bytes(frame[6 : 6 + h.side], "big"), 8 * h.side
+    body, at, used = int.from_bytes(frame[6:134], "big"), 8 * len(frame[6:134]), 0
+    for sub, n in enumerate(h.allocations):
+        each = h.channels if sub < h.bound else 1
+        for _ in range(each):
+            at -= n
+            used += (body >> at & (1 << n) - 1 > 0) * (h.channels if each == 1 else 1) if at >= 0 else 0
+    at = max(0, at - (2 * used if h.layer == 2 else 0))
+    size = 8 * len(frame[6:134]) - at
+    return body >> at, size
 
 
 @lru_cache(65536)
-def crc16(data: bytes) -> int:
-    """CRC-16 with the polynomial 0x8005, from 0xFFFF, high bit first."""
+def crc16(number: int, bits: int) -> int:
+    """CRC-16 of the low ``bits`` of a number with the polynomial 0x8005, from 0xFFFF, high bit first."""
     crc = 0xFFFF
-    for byte in data:
-        crc ^= byte << 8
-        for _ in range(8):
-            crc = (crc << 1 ^ 0x8005) & 0xFFFF if crc & 0x8000 else crc << 1
+    for i in range(bits - 1, -1, -1):
+        crc = (crc << 1 ^ 0x8005 if (crc >> 15 ^ number >> i) & 1 else crc << 1) & 0xFFFF
     return crc
 
 
+def frame_crc(frame: bytes, h: Header) -> int:
+    number, bits = protected(frame, h)
+    return crc16(int.from_bytes(frame[2:4], "big") << bits | number, 16 + bits)
+
+
 _SIDE = bytes(17)
 _ROOM = 4 + 2 + len(_SIDE)
 
@@ -84,7 +122,7 @@ _ROOM = 4 + 2 + len(_SIDE)
 def _frame_head(index: int) -> bytes:
     """Header, CRC and silent side information of a mono 48 kHz Layer III frame."""
     head = bytes([0xFF, 0xFA, index << 4 | 1 << 2, 0xC0])
-    return head + struct.pack(">H", crc16(head[2:] + _SIDE)) + _SIDE
+    return head + struct.pack(">H", frame_crc(head + b"\0\0" + _SIDE, header(int.from_bytes(head, "big")))) + _SIDE
 
 
 def _sized(n: int) -> bytes:
@@ -182,9 +220,9 @@ def from_stream(data: bytes) -> dict:
                 out["vbr_frames"], out["vbr_bytes"], out["toc"] = table["frames"], table["bytes"], table["toc"]
                 at += h.length
                 continue
-        if h.crc and h.layer == 3:
+        if h.crc:
             out["crc_checked"] += 1
-            out["crc_failed"] += crc16(frame[2:4] + frame[6 : 6 + h.side]) != int.from_bytes(frame[4:6], "big")
+            out["crc_failed"] += frame_crc(frame, h) != int.from_bytes(frame[4:6], "big")
         kept.append(frame[4 + 2 * h.crc + h.side :])
         out["offsets"].append(at)
         out["samples"] += h.samples
@@ -221,21 +259,27 @@ _TYPES = {
     "payload": pa.binary(),
     "payload_ok": pa.bool_(),
 }
-_SCHEMA = "tags map<string,string>, layer int, sample_rate int, samples long, offsets array<long>, crc_checked long, crc_failed long, skipped long, vbr_frames long, vbr_bytes long, toc binary, payload binary, payload_ok boolean"
+_SQL_TYPES = {pa.int32(): "int", pa.int64(): "long", pa.list_(pa.int64()): "array<long>", pa.binary(): "binary", pa.bool_(): "boolean", pa.map_(pa.string(), pa.string()): "map<string,string>"}
 
 
-def read():
+def read(*fields: str):
     """Column function: an MPEG stream -> its tags, frames, duration, seek offsets, checks and stored bytes.
 
-    A null or empty stream, or one without frames, has no layer and 0 samples.
-    payload is null for streams that ``store`` did not write.
+    ``fields`` names those of them that are wanted (without names: all), so
+    that payloads and tables that nobody reads do not leave the task. A null or
+    empty stream, or one without frames, has no layer and 0 samples. payload is
+    null for streams that ``store`` did not write.
     """
+    wanted = {k: _TYPES[k] for k in fields or _TYPES}
 
-    @F.arrow_udf(f"struct<{_SCHEMA.replace(' ', ':').replace(',:', ',')}>")
+    @F.arrow_udf(f"struct<{','.join(f'{k}:{_SQL_TYPES[t]}' for k, t in wanted.items())}>")
     def read(streams: pa.Array) -> pa.Array:
-        rows = [from_stream(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in streams]
-        for x in rows:
-            x["tags"] = list(x["tags"].items())
-        return pa.StructArray.from_arrays([pa.array([x[k] for x in rows], t) for k, t in _TYPES.items()], list(_TYPES))
+        columns: dict[str, list] = {k: [] for k in wanted}
+        for x in streams:
+            facts = from_stream(x.as_buffer().to_pybytes() if x.is_valid else b"")
+            facts["tags"] = list(facts["tags"].items())
+            for k, column in columns.items():
+                column.append(facts[k])
+        return pa.StructArray.from_arrays([pa.array(columns[k], t) for k, t in wanted.items()], list(wanted))
 
     return read

@@ -62,9 +62,9 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     padding = F.when(size == 0, 64).otherwise(F.pmod(-size, F.lit(64)))
     docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
     stored = docs.select("doc_id", size.cast("long").alias("n_bytes"), media.store()(F.concat("text", F.unhex(F.repeat(F.lit("00"), padding.cast("int"))))).alias("media"))
-    back = stored.withColumn("m", media.read()("media"))
-    payload = F.col("m.payload")
     facts = {"layer": "layer", "rate": "sample_rate", "samples": "samples", "table": "vbr_frames", "checked": "crc_checked", "failed": "crc_failed", "skipped": "skipped"}
+    back = stored.withColumn("m", media.read("payload", "offsets", *facts.values())("media"))
+    payload = F.col("m.payload")
     feature = F.concat_ws(";", *(F.concat(F.lit(f"{k}="), F.col(f"m.{v}").cast("string")) for k, v in facts.items()), F.concat(F.lit("frames="), F.size("m.offsets").cast("string")), F.concat(F.lit("last="), F.element_at("m.offsets", -1).cast("string")))
     return back.select(
         "doc_id",
@@ -76,7 +76,7 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         feature.alias("feature"),
         (F.col("m.samples") / F.col("m.sample_rate")).alias("duration_s"),
-        F.size("m.offsets").alias("n_frames"),
+        F.col("m.offsets").alias("frame_offsets"),
     )
 
 
