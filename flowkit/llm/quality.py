@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +28,23 @@ UNITS, DIM, NONZERO, ENDS, HIDDEN = 1 << 13, 32, 4, 3, 32
 _END = ("suf", ENDS)
 
 
-def index_vectors() -> np.ndarray:
-    """The ternary index vector of every unit, from a hash of its number."""
-    out = np.zeros((UNITS, DIM), np.float32)
+@lru_cache(1)
+def cells() -> np.ndarray:
+    """(UNITS, NONZERO): which cells of a row of 2 * DIM each unit's index vector adds one to; cells from DIM on count negatively."""
     units = np.arange(UNITS, dtype=U64)
+    found = np.empty((UNITS, NONZERO), np.int64)
     for k in range(NONZERO):
         h = mix(units * U64(NONZERO) + U64(k + 1))
-        out[np.arange(UNITS), (h % U64(DIM)).astype(np.int64)] += np.where(h >> U64(63), 1, -1)
-    return out
+        found[:, k] = (h % U64(DIM)).astype(np.int64) + DIM * (h >> U64(63) == 0)
+    return found
+
+
+def index_vectors() -> np.ndarray:
+    """The ternary index vector of every unit, from a hash of its number."""
+    out = np.zeros((UNITS, 2 * DIM), np.float32)
+    for k in range(NONZERO):
+        out[np.arange(UNITS), cells()[:, k]] += 1
+    return out[:, :DIM] - out[:, DIM:]
 
 
 def _units(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,11 +54,20 @@ def _units(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return (w.hash % half).astype(np.int64), (w.affix[_END] % half + half).astype(np.int64), w.first
 
 
+#: Pairs of neighbours whose index vectors are summed at once.
+PAIRS = 1 << 18
+
+
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts -> (unit, v0 ..): the sums of this partition."""
-    index = index_vectors()
-    nonzero = [np.argsort(-np.abs(index), axis=1, kind="stable")[:, k] for k in range(NONZERO)]
-    sums = np.zeros(UNITS * DIM)
+    sums, waiting, count = np.zeros(UNITS * 2 * DIM, np.int64), [], 0
+
+    def add() -> None:
+        unit, context = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        for k in range(NONZERO):
+            sums[:] += np.bincount(unit * (2 * DIM) + cells()[context, k], minlength=len(sums))
+        waiting.clear()
+
     for batch in batches:
         for _, _, buf, bounds in slabs(batch.column(0)):
             whole, end, first = _units(buf, bounds)
@@ -57,12 +76,15 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inside[cuts[(cuts > 0) & (cuts < len(whole))] - 1] = False
             at = np.flatnonzero(inside)
             for here, there in ((at, at + 1), (at + 1, at)):
-                context = end[there]
-                for unit in (whole[here], end[here]):
-                    for cells in nonzero:
-                        dim = cells[context]
-                        sums += np.bincount(unit * DIM + dim, index[context, dim], UNITS * DIM)
-    table = sums.reshape(UNITS, DIM)
+                waiting += (whole[here], end[there]), (end[here], end[there])
+                count += 2 * len(at)
+            if count > PAIRS:
+                add()
+                count = 0
+    if waiting:
+        add()
+    table = sums.reshape(UNITS, 2 * DIM)
+    table = (table[:, :DIM] - table[:, DIM:]).astype(float)
     some = np.flatnonzero(np.abs(table).sum(1))
     yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(table[some, d]) for d in range(DIM))], ["unit", *(f"v{d}" for d in range(DIM))])
 
@@ -98,24 +120,27 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+#: Texts whose units are counted at once.
+TEXTS = 128
+
+
 def pooled(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     """(texts, 2 * DIM + 3) features."""
-    index, out = index_vectors(), [np.zeros((0, 2 * DIM + 3))]
-    both = np.concatenate([vectors, index], 1)
+    out, half = [np.zeros((0, 2 * DIM + 3))], UNITS // 2
+    both = np.concatenate([vectors, index_vectors()], 1)
     for _, _, buf, bounds in slabs(texts):
         whole, end, first = _units(buf, bounds)
-        n = np.diff(first)
-        some = np.flatnonzero(n)
-        starts = first[some]
-        sums = [np.zeros((len(n), 2 * DIM)) for _ in range(2)]
-        for lo in range(0, len(whole), 1 << 16):  # a long text is summed piece by piece
-            a, b = np.searchsorted(starts, lo, "right") - 1, np.searchsorted(starts, lo + (1 << 16))
-            cuts = np.maximum(starts[a:b] - lo, 0)
-            for total, unit in zip(sums, (whole, end), strict=True):
-                total[some[a:b]] += np.add.reduceat(both[unit[lo : lo + (1 << 16)]], cuts, axis=0)
-        sums = [s / np.maximum(n, 1)[:, None] for s in sums]
-        spread = [np.log((s[:, DIM:] ** 2).sum(1) / NONZERO + 1e-4) for s in sums]
-        out.append(np.column_stack([sums[0][:, :DIM], sums[1][:, :DIM], *spread, np.log1p(n)]))
+        for lo in range(0, len(bounds) - 1, TEXTS):
+            cuts = first[lo : lo + TEXTS + 1]
+            n = np.diff(cuts)
+            owner = np.repeat(np.arange(len(n)) * half, n)
+            sums = []
+            # a text's sum of vectors is its count of each unit times the table
+            for unit, shift in ((whole, 0), (end, half)):
+                counts = np.bincount(owner + unit[cuts[0] : cuts[-1]] - shift, minlength=len(n) * half)
+                sums.append(counts.astype(np.float32).reshape(len(n), half) @ both[shift : shift + half] / np.maximum(n, 1)[:, None])
+            spread = [np.log((s[:, DIM:] ** 2).sum(1) / NONZERO + 1e-4) for s in sums]
+            out.append(np.column_stack([sums[0][:, :DIM], sums[1][:, :DIM], *spread, np.log1p(n)]))
     return np.concatenate(out)
 
 
