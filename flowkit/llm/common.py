@@ -8,22 +8,33 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ConfigError
+
 #: Most keys that may be broadcast: about 16 MB as a hash table of longs.
 BROADCAST_KEYS = 500_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the session's checkpoint folder, or one of our own if none is set."""
+    """The folder for intermediate tables: the session's checkpoint folder. Only a local session may do without one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flowkit-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and sc.master != "local" and not sc.master.startswith("local["):
+            raise ConfigError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="flowkit-"))
     return sc.getCheckpointDir()
 
 
+#: Arrow batches of texts end at 500 rows or 4 MB, so that Python workers stay small.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Let Arrow batches of texts end at 4 MB or 500 rows, so that Python workers stay small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    """Bound Arrow batches where the session has no setting of its own: Spark reads it when a job starts, so it stays."""
+    own = spark.conf.getAll
+    for key, value in BATCHES.items():
+        if key not in own:
+            spark.conf.set(key, value)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -33,6 +44,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` gave and that nothing needs any more."""
+    for df in tables:
+        jvm, top = df.sparkSession._jvm, shared_dir(df.sparkSession)
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            if path.getParent().getName() == top.rpartition("/")[2]:
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_keys(keys: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
     """``keys`` marked for broadcast if they number at most ``limit``, else as they are (a shuffle join)."""
     return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys

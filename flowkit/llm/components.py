@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 #: Most edges of which the least neighbours are broadcast: some 16 MB.
 FEW_EDGES = 250_000
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(hinted(least), "a").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(hinted(down), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down)
-        edges = written(small.filter("a <> b").distinct(), "edges")
+        old, edges = edges, written(small.filter("a <> b").distinct(), "edges")
+        discard(old)
         after = _state(edges)
         if after == before:
             break

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_keys, written
+from .common import discard, small_keys, written
 from .components import components
 from .words import U64, mix, shingle_sets, signed
 
@@ -372,16 +372,22 @@ class JaccardJoin:
     def __init__(self, docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text"):
         self.docs = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).cast("string").alias("text")).filter("doc is not null")
         self.n, self.num, self.den = n, num, den
+        self.used: list[DataFrame] = []
+
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        """Written, until ``linked`` has its links."""
+        self.used.append(written(df, name))
+        return self.used[-1]
 
     def facts(self, ids: DataFrame) -> DataFrame:
         """(doc, set, size, sketch) of these documents."""
         found = self.docs.join(small_keys(ids), "doc", "left_semi")
-        return written(found.select("doc", set_facts(self.n)("text").alias("f")).select("doc", "f.*"), "sets")
+        return self.kept(found.select("doc", set_facts(self.n)("text").alias("f")).select("doc", "f.*"), "sets")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are linked: first by their sketches, then by their sets."""
-        pairs = written(pairs.distinct(), "pairs")
-        facts = self.facts(written(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ids"))
+        pairs = self.kept(pairs.distinct(), "pairs")
+        facts = self.facts(self.kept(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "ids"))
 
         def joined(pairs: DataFrame, *columns: str) -> DataFrame:
             for side in ("a", "b"):
@@ -389,7 +395,7 @@ class JaccardJoin:
             return pairs
 
         left = joined(pairs, "size", "sketch").filter(plausible(self.num, self.den)("size_a", "sketch_a", "size_b", "sketch_b"))
-        left = written(left.select("a", "b"), "pairs")
+        left = self.kept(left.select("a", "b"), "pairs")
         return joined(left, "set").filter(similar(self.num, self.den)("set_a", "set_b")).select("a", "b")
 
     def classes(self) -> DataFrame:
@@ -416,11 +422,11 @@ class JaccardJoin:
 
     def completed(self, groups: DataFrame) -> DataFrame:
         """Links (a, b) that join what can be joined of these groups (sig, doc, component) of several components."""
-        facts = self.facts(written(groups.select("doc").distinct(), "ids"))
+        facts = self.facts(self.kept(groups.select("doc").distinct(), "ids"))
         by_block = ("sig", "x", "y")
         rows = self.blocks(groups.join(facts.select("doc", "size", "sketch"), "doc").withColumn("one", F.lit(1)), "one", BLOCK).drop("one")
         left = rows.repartition(*by_block).sortWithinPartitions(*by_block).mapInArrow(_hopeful(self.num, self.den), "sig long, doc long, component long")
-        left = written(left.distinct(), "hopeful")
+        left = self.kept(left.distinct(), "hopeful")
         # groups of the same members are compared once
         alike = left.groupBy("sig").agg(F.count("*").alias("k"), *(F.bit_xor(F.xxhash64("doc", F.lit(i))).alias(f"h{i}") for i in (0, 1)))
         left = left.join(alike.groupBy("k", "h0", "h1").agg(F.min("sig").alias("sig")).select("sig"), "sig")
@@ -436,17 +442,19 @@ class JaccardJoin:
         signed_docs = sets.mapInArrow(_signed_rows(self.n, self.num, self.den), "sig long, doc long, head long")
         # rows that know their head need no meeting: dealt out by document, they make no hot key
         met = signed_docs.repartition("sig", F.when(F.col("head").isNotNull(), F.col("doc"))).sortWithinPartitions("sig", "doc")
-        met = written(met.mapInArrow(_paired, "sig long, a long, b long"), "met")
+        met = self.kept(met.mapInArrow(_paired, "sig long, a long, b long"), "met")
         links = written(self.verified(met.filter("sig is null").select("a", "b")), "links")
         comps = written(components(links), "components")
         groups = met.filter("sig is not null").select("sig", F.col("a").alias("doc")).distinct()
         named = groups.join(comps.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         split = named.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-        split = written(named.join(split.select("sig"), "sig"), "groups")
-        if split.isEmpty():
-            return classes, links, comps
-        links = written(links.union(self.completed(split)), "links")
-        return classes, links, written(components(links), "components")
+        split = self.kept(named.join(split.select("sig"), "sig"), "groups")
+        if not split.isEmpty():
+            links = written(links.union(self.completed(split)), "links")
+            comps = written(components(links), "components")
+        discard(*self.used)
+        self.used.clear()
+        return classes, links, comps
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
