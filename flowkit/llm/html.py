@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_KEYS, small_keys, written
 from .urls import host_of
-from .words import mix, words
+from .words import SLAB, mix, words
 
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -62,7 +62,6 @@ LISTS = frozenset("ul ol dl table menu dir select body article main section div"
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(?:(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?![\w-])|[^\s"'=/>]+\s*=\s*(?:"[^"]*"|'[^']*'))""", re.I)
-_SPACE = re.compile(r"[\s\x00]+")
 _PARTS = re.compile(r"[-_0-9]+")
 _HREF = re.compile(r"""(?<![\w-])href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
@@ -137,7 +136,7 @@ def parsed(page: str) -> Page:
 
     def flush() -> None:
         if buffer:
-            text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip()
+            text = " ".join(html.unescape("".join(buffer)).replace("\0", " ").split())
             buffer.clear()
             if text:
                 top = stack[-1]
@@ -218,38 +217,57 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def summed() -> pa.RecordBatch:
         host, node, kind, value, weight = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        order = np.lexsort((value, kind, node, host))
-        host, node, kind, value, weight = (x[order] for x in (host, node, kind, value, weight))
-        at = np.flatnonzero(np.r_[True, (host[1:] != host[:-1]) | (node[1:] != node[:-1]) | (kind[1:] != kind[:-1]) | (value[1:] != value[:-1])])
-        return pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (host, node, kind, value)] + [pa.array(np.add.reduceat(weight, at))], ["host", "node", "kind", "value", "n"])
+        _, at, group = np.unique(_joint(host, node, kind, value), return_index=True, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (host, node, kind.astype(np.int32), value)] + [pa.array(np.bincount(group, weight))], ["host", "node", "kind", "value", "n"])
+
+    def hold(page: np.ndarray, host: np.ndarray, weight: np.ndarray, node: np.ndarray, kind: np.ndarray, value: np.ndarray) -> int:
+        held.append((host[page], node, kind, value, weight[page]))
+        return len(node)
 
     for batch in batches:
-        for host, weight, page in zip(*batch.columns[:2], batch.column(2), strict=True):
-            host, weight, page = host.as_py(), weight.as_py(), parsed(page.as_py() or "")
-            rows = {(node, _STYLE, style) for node, style in page.styles}
+        host, weight = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+        rows: list[tuple[int, int, int, int]] = []
+        texts: list[bytes] = []
+        owners: list[tuple[int, int]] = []
+        waiting = 0
+        last = len(host) - 1
+        for i, source in enumerate(batch.column(2)):
+            page = parsed(source.as_py() or "")
+            rows += {(i, node, _STYLE, style) for node, style in page.styles}
             for node in page.above:
                 up, levels = node, 0
                 while up and levels <= LEVELS:
-                    rows.add((node, _ABOVE, levels << 32 | up))
+                    rows.append((i, node, _ABOVE, levels << 32 | up))
                     up, levels = page.above[up], levels + 1
-            node, kind, value = (np.array(x, np.int64) for x in zip(*rows, strict=True)) if rows else [np.zeros(0, np.int64)] * 3
-            texts = [(b.node, b.text.encode("utf-8", "surrogatepass")) for b in page.blocks] + [(n, b"href=" + b"_".join(x.encode("utf-8", "surrogatepass").split())) for n, x in page.links]
-            if texts:
-                bounds = np.cumsum([0, *(len(t) + 1 for _, t in texts)])
-                found = words(np.frombuffer(b"\n".join([*(t for _, t in texts), b""]), np.uint8), bounds, lower=True)
-                owner = np.repeat(np.array([n for n, _ in texts], np.int64), np.diff(found.first))
-                _, once = np.unique(mix(found.hash ^ mix(owner.view(np.uint64))), return_index=True)
-                node, kind, value = np.append(node, owner[once]), np.append(kind, np.full(len(once), _FEATURE)), np.append(value, found.hash[once].view(np.int64))
-            if len(node):
-                held.append((np.full(len(node), host, np.int64), node, kind.astype(np.int32), value, np.full(len(node), weight)))
-                size += len(node)
-            if size > 500_000:
-                yield summed()
-                size = 0
+            texts += [b.text.encode("utf-8", "surrogatepass") for b in page.blocks]
+            texts += [b"href=" + b"_".join(x.encode("utf-8", "surrogatepass").split()) for _, x in page.links]
+            owners += [(i, b.node) for b in page.blocks] + [(i, n) for n, _ in page.links]
+            waiting += sum(map(len, texts[len(texts) - len(page.blocks) - len(page.links) :]))
+            if rows and (i == last or waiting > SLAB):
+                at, node, kind, value = np.array(rows, np.int64).T
+                size += hold(at, host, weight, node, kind, value)
+                bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+                found = words(np.frombuffer(b"\n".join([*texts, b""]), np.uint8), bounds, lower=True)
+                at, node = np.repeat(np.array(owners, np.int64).reshape(-1, 2), np.diff(found.first), axis=0).T
+                value = found.hash.view(np.int64)
+                once = np.unique(_joint(at, node, value), return_index=True)[1]
+                size += hold(at[once], host, weight, node[once], np.full(len(once), _FEATURE), value[once])
+                rows, texts, owners, waiting = [], [], [], 0
+                if size > 1_000_000:
+                    yield summed()
+                    size = 0
     if held:
         yield summed()
 
 
+def _joint(*columns: np.ndarray) -> np.ndarray:
+    """One 64-bit hash of a row's values."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for x in columns:
+        out = mix(out ^ mix(x.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+    return out
+
+
 def importances(pages: DataFrame) -> DataFrame:
     """pages (host: long, weight: double, html) -> (host, node, pages, importance) of the hosts' style trees.
 
