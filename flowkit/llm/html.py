@@ -218,7 +218,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         host, node, kind, value, weight = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         _, at, group = np.unique(_joint(host, node, kind, value), return_index=True, return_inverse=True)
-        return pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (host, node, kind.astype(np.int32), value)] + [pa.array(np.bincount(group, weight))], ["host", "node", "kind", "value", "n"])
+        order = np.lexsort((value[at], kind[at], node[at], host[at]))  # rows that are alike compress well side by side
+        return pa.RecordBatch.from_arrays([pa.array(x[at][order]) for x in (host, node, kind.astype(np.int32), value)] + [pa.array(np.bincount(group, weight)[order])], ["host", "node", "kind", "value", "n"])
 
     def hold(page: np.ndarray, host: np.ndarray, weight: np.ndarray, node: np.ndarray, kind: np.ndarray, value: np.ndarray) -> int:
         held.append((host[page], node, kind, value, weight[page]))
