@@ -13,16 +13,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 KEYS = ["pipeline", "node", "column"]
 
 
 def _kept(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Cut the lineage of an iteration: through the checkpoint folder, or one of our own if none is set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flowkit-"))
-    path = f"{spark.sparkContext.getCheckpointDir()}/lineage-{uuid.uuid4().hex[:12]}"
+    """Cut the lineage of an iteration through the folder that the cluster shares."""
+    path = f"{shared_dir(spark)}/lineage-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -47,9 +45,9 @@ def closure(edges: DataFrame, most_steps: int = 64) -> DataFrame:
         known = _kept(known.unionByName(longer).groupBy(*pairs).agg(F.max("derivation").alias("derivation")), spark)
         now = known.agg(F.count("*"), F.sum("derivation")).first()
         if now == size:
-            break
+            return known
         size = now
-    return known
+    raise RuntimeError(f"paths of over 2 ** {most_steps} hops")
 
 
 def _origins(pairs: DataFrame, edges: DataFrame) -> DataFrame:
@@ -95,8 +93,23 @@ def across(edges: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def impact(edges: DataFrame, in_node, in_column) -> DataFrame:
-    """(pipeline, node, column, derivation, kind): what is derived from, or indirectly uses, a column."""
-    return closure(edges).filter((F.col("in_node") == in_node) & (F.col("in_column") == in_column)).drop("in_node", "in_column")
+    """(pipeline, node, column, derivation, kind): what is derived from, or indirectly uses, a column.
+
+    Walks forward from the column, a join a hop; only what it reaches is ever made.
+    """
+    spark = edges.sparkSession
+    key = [*KEYS, "kind"]
+    hop = edges.select(*KEYS, "in_node", "in_column", (F.col("edge") == "indirect").cast("int").alias("k"), F.col("derivation").alias("d"))
+    first = hop.filter((F.col("in_node") == in_node) & (F.col("in_column") == in_column)).select(*KEYS, F.col("k").alias("kind"), F.col("d").alias("derivation"))
+    known = front = _kept(first.groupBy(*key).agg(F.max("derivation").alias("derivation")), spark)
+    while not front.isEmpty():
+        here = front.select("pipeline", F.col("node").alias("in_node"), F.col("column").alias("in_column"), "kind", "derivation")
+        there = here.join(hop, ["pipeline", "in_node", "in_column"]).select(*KEYS, F.greatest("kind", "k").alias("kind"), F.greatest("derivation", "d").alias("derivation"))
+        there = there.groupBy(*key).agg(F.max("derivation").alias("derivation"))
+        # goes on from what is new, or now more derived than it was
+        front = _kept(there.join(known.withColumnRenamed("derivation", "was"), key, "left").filter("was is null or derivation > was").drop("was"), spark)
+        known = _kept(known.unionByName(front).groupBy(*key).agg(F.max("derivation").alias("derivation")), spark)
+    return known.select(*KEYS, "kind", "derivation")
 
 
 def unknown_at(edges: DataFrame) -> DataFrame:

@@ -245,7 +245,7 @@ class Pipeline:
                         sink(df, n.config)
                     reports[i].elapsed_ms = round((time.monotonic() - began) * 1000)
             except Exception as e:
-                bad[i], reports[i].status, reports[i].error = "failed", "failed", str(e).splitlines()[0][:500]
+                bad[i], reports[i].status, reports[i].error = "failed", "failed", (str(e).splitlines() or [type(e).__name__])[0][:500]
         for df in kept:
             df.unpersist()
         self._tell(reports, bad, watch)

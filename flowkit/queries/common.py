@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.basic import sql
+from ..session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,8 +27,5 @@ def stated(names: str, text: str) -> Query:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that the cluster shares, or in one of our own if none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="flowkit-"))
-    return f"{sc.getCheckpointDir()}/{label}-{uuid.uuid4().hex[:12]}"
+    """A new path in the folder that the cluster shares."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
