@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
@@ -18,52 +18,61 @@ from ..session import shared_dir
 KEYS = ["pipeline", "node", "column"]
 
 
-def _kept(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """Cut the lineage of an iteration through the folder that the cluster shares."""
-    path = f"{shared_dir(spark)}/lineage-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _walk(first: DataFrame, hop: DataFrame, key: list[str], stepped: dict[str, Column], best: Column, better: str) -> DataFrame:
+    """Everything that ``first`` reaches along ``hop``, a join a hop: ``key`` and the best ``value``.
 
+    A row of first is a column (KEYS) with what it carries; ``stepped`` says what
+    is carried on over a hop, whose own columns are called k and d. Each step
+    goes on from what is new, or now ``better`` than it ``was``, and writes that
+    alone to the folder that the cluster shares. Cycles end when nothing is.
+    """
+    spark = first.sparkSession
+    folder, paths = f"{shared_dir(spark)}/lineage-{uuid.uuid4().hex[:12]}", []
 
-def closure(edges: DataFrame, most_steps: int = 64) -> DataFrame:
-    """(pipeline, node, column, in_node, in_column, derivation, kind) of all pairs along edges.
+    def step(df: DataFrame) -> tuple[DataFrame, int]:
+        paths.append(f"{folder}/{len(paths)}")
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(paths[-1])
+        return spark.read.schema(df.schema).parquet(paths[-1]), seen.get["rows"]
+
+    def known() -> DataFrame:
+        return spark.read.schema(front.schema).parquet(*paths).groupBy(*key).agg(best.alias("value"))
+
+    front, rows = step(first.groupBy(*key).agg(best.alias("value")))
+    while rows:
+        here = front.withColumnsRenamed({"node": "from_node", "column": "from_column"})
+        there = here.join(hop, ["pipeline", "from_node", "from_column"]).select(*KEYS, *(c.alias(n) for n, c in stepped.items()))
+        there = there.groupBy(*key).agg(best.alias("value"))
+        front, rows = step(there.join(known().withColumnRenamed("value", "was"), key, "left").filter(f"was is null or {better}").drop("was"))
+    return known()
+
+
+def _hops(edges: DataFrame) -> DataFrame:
+    return edges.select(*KEYS, F.col("in_node").alias("from_node"), F.col("in_column").alias("from_column"), (F.col("edge") == "indirect").cast("int").alias("k"), F.col("derivation").alias("d"))
 
-    Paths are doubled, so a chain of n hops takes log2 n joins. A path's
-    derivation is its largest, a pair keeps its largest over the paths; its kind
-    is 1 as soon as one hop is indirect, and direct and indirect pairs are
-    kept apart. Cycles end when nothing new is found.
-    """
-    spark = edges.sparkSession
-    pairs = [*KEYS, "in_node", "in_column", "kind"]
-    hop = edges.select(*KEYS, "in_node", "in_column", (F.col("edge") == "indirect").cast("int").alias("kind"), "derivation")
-    known = _kept(hop.groupBy(*pairs).agg(F.max("derivation").alias("derivation")), spark)
-    size = None
-    for _ in range(most_steps):
-        left = known.alias("l")
-        right = known.select("pipeline", F.col("node").alias("in_node"), F.col("column").alias("in_column"), F.col("in_node").alias("n2"), F.col("in_column").alias("c2"), F.col("kind").alias("k2"), F.col("derivation").alias("d2"))
-        longer = left.join(right, ["pipeline", "in_node", "in_column"]).select("pipeline", "node", "column", F.col("n2").alias("in_node"), F.col("c2").alias("in_column"), F.greatest("kind", "k2").alias("kind"), F.greatest("derivation", "d2").alias("derivation"))
-        known = _kept(known.unionByName(longer).groupBy(*pairs).agg(F.max("derivation").alias("derivation")), spark)
-        now = known.agg(F.count("*"), F.sum("derivation")).first()
-        if now == size:
-            return known
-        size = now
-    raise RuntimeError(f"paths of over 2 ** {most_steps} hops")
-
-
-def _origins(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    derived = edges.select("pipeline", F.col("node").alias("in_node"), F.col("column").alias("in_column")).distinct()
-    return pairs.join(derived, ["pipeline", "in_node", "in_column"], "left_anti")
+
+def _derived(first: DataFrame, edges: DataFrame, carried: list[str]) -> DataFrame:
+    """KEYS, carried, kind and derivation of what the hops ``first`` lead to; a path's derivation is its largest, its kind 1 as soon as one hop is indirect."""
+    stepped = {c: F.col(c) for c in carried} | {"kind": F.greatest("kind", "k"), "value": F.greatest("value", "d")}
+    start = first.select(*KEYS, *carried, F.col("k").alias("kind"), F.col("d").alias("value"))
+    return _walk(start, _hops(edges), [*KEYS, *carried, "kind"], stepped, F.max("value"), "value > was").withColumnRenamed("value", "derivation")
+
+
+def _from_origins(edges: DataFrame) -> DataFrame:
+    """Pairs of a column and an origin of it; pairs of two columns in between are never made."""
+    made = edges.select("pipeline", F.col("node").alias("from_node"), F.col("column").alias("from_column")).distinct()
+    first = _hops(edges).join(made, ["pipeline", "from_node", "from_column"], "left_anti").withColumns({"in_node": F.col("from_node"), "in_column": F.col("from_column")})
+    return _derived(first, edges, ["in_node", "in_column"])
 
 
 def resolve(edges: DataFrame) -> DataFrame:
     """(pipeline, node, column, in_node, in_column, derivation): every column's origins over direct edges."""
-    direct = edges.filter("edge = 'direct'")
-    return _origins(closure(direct), direct).drop("kind")
+    return _from_origins(edges.filter("edge = 'direct'")).drop("kind")
 
 
 def indirect(edges: DataFrame) -> DataFrame:
     """(pipeline, node, column, in_node, in_column): origins that reach a column through an indirect edge."""
-    return _origins(closure(edges).filter("kind = 1"), edges).select(*KEYS, "in_node", "in_column")
+    return _from_origins(edges).filter("kind = 1").select(*KEYS, "in_node", "in_column")
 
 
 def normalised_path(path):
@@ -93,28 +102,13 @@ def across(edges: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def impact(edges: DataFrame, in_node, in_column) -> DataFrame:
-    """(pipeline, node, column, derivation, kind): what is derived from, or indirectly uses, a column.
-
-    Walks forward from the column, a join a hop; only what it reaches is ever made.
-    """
-    spark = edges.sparkSession
-    key = [*KEYS, "kind"]
-    hop = edges.select(*KEYS, "in_node", "in_column", (F.col("edge") == "indirect").cast("int").alias("k"), F.col("derivation").alias("d"))
-    first = hop.filter((F.col("in_node") == in_node) & (F.col("in_column") == in_column)).select(*KEYS, F.col("k").alias("kind"), F.col("d").alias("derivation"))
-    known = front = _kept(first.groupBy(*key).agg(F.max("derivation").alias("derivation")), spark)
-    while not front.isEmpty():
-        here = front.select("pipeline", F.col("node").alias("in_node"), F.col("column").alias("in_column"), "kind", "derivation")
-        there = here.join(hop, ["pipeline", "in_node", "in_column"]).select(*KEYS, F.greatest("kind", "k").alias("kind"), F.greatest("derivation", "d").alias("derivation"))
-        there = there.groupBy(*key).agg(F.max("derivation").alias("derivation"))
-        # goes on from what is new, or now more derived than it was
-        front = _kept(there.join(known.withColumnRenamed("derivation", "was"), key, "left").filter("was is null or derivation > was").drop("was"), spark)
-        known = _kept(known.unionByName(front).groupBy(*key).agg(F.max("derivation").alias("derivation")), spark)
-    return known.select(*KEYS, "kind", "derivation")
+    """(pipeline, node, column, derivation, kind): what is derived from, or indirectly uses, a column."""
+    first = _hops(edges).filter((F.col("from_node") == in_node) & (F.col("from_column") == in_column))
+    return _derived(first, edges, []).select(*KEYS, "kind", "derivation")
 
 
 def unknown_at(edges: DataFrame) -> DataFrame:
     """(pipeline, node, column, unknown_at): the first node, by name, at which a column's chain is cut."""
-    cuts = edges.filter("derivation = 3").select("pipeline", F.col("node").alias("in_node"), F.col("column").alias("in_column")).distinct()
-    below = closure(edges.filter("edge = 'direct'")).join(cuts, ["pipeline", "in_node", "in_column"], "left_semi").select(*KEYS, F.col("in_node").alias("cut"))
-    own = cuts.select("pipeline", F.col("in_node").alias("node"), F.col("in_column").alias("column"), F.col("in_node").alias("cut"))
-    return below.union(own).groupBy(*KEYS).agg(F.min("cut").alias("unknown_at"))
+    cuts = edges.filter("derivation = 3").select(*KEYS, F.col("node").alias("value")).distinct()
+    found = _walk(cuts, _hops(edges.filter("edge = 'direct'")), KEYS, {"value": F.col("value")}, F.min("value"), "value < was")
+    return found.withColumnRenamed("value", "unknown_at")
