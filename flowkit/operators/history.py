@@ -65,7 +65,7 @@ def typical_duration(runs: DataFrame, n: int = 10, least: int = 3) -> DataFrame:
 def recent(runs: DataFrame, node_runs: DataFrame, n: int) -> DataFrame:
     """The latest ``n`` runs with their number of failed nodes."""
     last = runs.orderBy(F.col("started_at_us").desc(), F.col("run_id").desc()).limit(n)
-    failed = node_runs.filter("status = 'failed'").join(F.broadcast(last.select("run_id")), "run_id", "left_semi").groupBy("run_id").agg(F.count("*").alias("failed_nodes"))
+    failed = node_runs.filter("status = 'failed'").join(last.select("run_id"), "run_id", "left_semi").groupBy("run_id").agg(F.count("*").alias("failed_nodes"))
     return last.join(failed, "run_id", "left").withColumn("failed_nodes", F.coalesce("failed_nodes", F.lit(0).cast("long")))
 
 

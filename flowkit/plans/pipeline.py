@@ -26,6 +26,7 @@ from ..sinks import files as sink_files
 from ..sinks import jdbc as sink_jdbc
 from ..sinks import rest as sink_rest
 from ..sources import files, jdbc, rest
+from . import steps
 
 
 def _one(inputs: dict[str, DataFrame], op: str) -> DataFrame:
@@ -201,6 +202,16 @@ class Pipeline:
             frames[i] = basic.stack(self.inputs(i, frames)) if self.nodes[i].type == "sink" and self.nodes[i].component != "null" else frames.get(i) if self.nodes[i].type == "sink" else self.made(spark, i, frames)
         return {k: v for k, v in frames.items() if v is not None}
 
+    def lineage(self, spark: SparkSession) -> DataFrame:
+        """One-hop column edges of every node, as ``operators.lineage`` takes them. Nothing is read but schemas."""
+        frames, found = self.build(spark), []
+        for i in self.order:
+            n = self.nodes[i]
+            ins = {e.port: (e.source, frames[e.source]) for e in self.edges if e.target == i}
+            out = frames[i].columns if i in frames else None
+            found += [(self.name, i, *edge) for edge in steps.edges(n.component if n.type == "transform" else n.type, n.config, ins, out)]
+        return spark.createDataFrame(sorted(set(found)), steps.SCHEMA)
+
     def _doomed(self, node: str, failed: dict[str, str]) -> str | None:
         """The failed or skipped node that this one needs, if any."""
         need = [e.source for e in self.edges if e.target == node] + self.nodes[node].after

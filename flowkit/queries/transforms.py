@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import basic, jsonrecords, plugins
+from ..operators import basic, jsonrecords, lineage, plugins
 from ..operators.history import dedup_by_hash
 from ..plans.pipeline import Pipeline
+from ..schema import declared
 from ..sinks import files as sinks
 from ..sources import files
 from .common import Query, scratch, table
@@ -204,6 +205,74 @@ def pipeline_two_phase(spark, sf):
     return spark.read.parquet(end)
 
 
+#: Sink columns, their origins in lineitem and the most that happens to them on the way.
+TRACED = [("l_returnflag", "l_returnflag", 0), ("latest", "l_shipdate", 2), ("net", "l_extendedprice", 2), ("net", "l_discount", 2)]
+
+
+@query("lineage_edges", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{origin}' AS in_column, {rank} AS derivation, count({origin}) AS filled FROM lineitem" for c, origin, rank in TRACED))
+def lineage_edges(spark, sf):
+    """Which columns of lineitem reach the sink of a pipeline, and how many values of each there are."""
+    path = f"{sf}/lineitem.parquet"
+    spec = {
+        "name": "net by flag",
+        "nodes": [
+            {"id": "items", "type": "source", "connector": "parquet", "config": {"path": path}},
+            {"id": "shipped", "type": "transform", "op": "filter", "config": {"where": "l_linestatus = 'F'"}},
+            {"id": "priced", "type": "transform", "op": "derive", "config": {"columns": {"net": "l_extendedprice * (1 - l_discount)"}}},
+            {"id": "named", "type": "transform", "op": "rename", "config": {"columns": {"l_shipdate": "shipped_on"}}},
+            {"id": "sums", "type": "transform", "op": "aggregate", "config": {"group_by": ["l_returnflag"], "aggregates": {"net": "sum(net)", "latest": "max(shipped_on)"}}},
+            {"id": "out", "type": "sink", "connector": "null"},
+        ],
+        "edges": [{"from": a, "to": b} for a, b in (("items", "shipped"), ("shipped", "priced"), ("priced", "named"), ("named", "sums"), ("sums", "out"))],
+    }
+    found = lineage.resolve(Pipeline(spec).lineage(spark)).filter("node = 'out'").select("column", "in_column", "derivation")
+    items = files.parquet(spark, path)
+    counts = items.agg(*(F.count(c).alias(c) for c in items.columns)).unpivot([], items.columns, "in_column", "filled")
+    return found.join(counts, "in_column")
+
+
+@query("run_report", "SELECT 'orders' AS node, 'source' AS kind, 'succeeded' AS status, CAST(NULL AS BIGINT) AS rows_in, count(*) AS rows_out FROM orders UNION ALL SELECT 'final', 'transform', 'succeeded', (SELECT count(*) FROM orders), count(*) FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'out', 'sink', 'succeeded', count(*), NULL FROM orders WHERE o_orderstatus = 'F'")
+def run_report(spark, sf):
+    spec = {
+        "nodes": [
+            {"id": "orders", "type": "source", "connector": "parquet", "config": {"path": f"{sf}/orders.parquet"}},
+            {"id": "final", "type": "transform", "op": "filter", "config": {"where": "o_orderstatus = 'F'"}},
+            {"id": "out", "type": "sink", "connector": "null"},
+        ],
+        "edges": [{"from": "orders", "to": "final"}, {"from": "final", "to": "out"}],
+    }
+    return Pipeline(spec).run(spark).to_frame(spark, "run").select("node", "kind", "status", "rows_in", "rows_out")
+
+
+@query("snk_publish", "SELECT * FROM orders")
+def snk_publish(spark, sf):
+    """A sink that fails half way leaves what was published before as it was."""
+    path = scratch(spark, "published")
+    orders = table(spark, sf, "orders")
+    sinks.parquet(orders, path)
+    last = orders.agg(F.max("o_orderkey")).first()[0]
+    broken = orders.withColumn("o_orderstatus", F.when(F.col("o_orderkey") == last, F.raise_error(F.lit("stop")).cast("string")).otherwise(F.col("o_orderstatus")))
+    try:
+        sinks.parquet(broken, path)
+    except Exception as e:
+        if "stop" not in str(e):
+            raise
+        return files.parquet(spark, path)
+    raise RuntimeError("a broken write was published")
+
+
+@query("sql_ports", "SELECT n_name, count(*) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def sql_ports(spark, sf):
+    text = "SELECT who.n_name, count(*) AS customers FROM buyers JOIN who ON c_nationkey = n_nationkey GROUP BY who.n_name"
+    return basic.sql({"buyers": table(spark, sf, "customer"), "who": table(spark, sf, "nation")}, text)
+
+
+@query("json_declared", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_declared(spark, sf):
+    schema = declared([{"name": "k", "type": "int64"}])
+    return table(spark, sf, "events").select("event_id", F.from_json("props", schema).alias("p")).select("event_id", "p.*")
+
+
 def generated(spark, sf, times: int):
     """Generated rows, ``times`` as many as line items."""
     return files.generator(spark, table(spark, sf, "lineitem").count() * times, with_text=False)

@@ -1,37 +1,37 @@
 import pytest
 
 from flowkit.errors import ConfigError
-from flowkit.operators import plugins
+from flowkit.operators import lineage, plugins
 from flowkit.plans.pipeline import Pipeline, standard_registry
 
-CUSTOMERS = "id,name,city,segment,spend\n1,Ana,Santo Domingo,a,1000.5\n2,Luis,Santiago,b,500\n3,Marta,Santo Domingo,a,2000\n"
-ORDERS = "order_id,customer_id,amount,status\n1,1,100.5,pagado\n2,1,50,pendiente\n3,3,70,pagado\n4,99,5,pagado\n5,2,20,pagado\n"
+BUOYS = "buoy,coast,depth\n4,west,12.5\n9,east,3\n12,west,40\n30,south,8\n"
+WAVES = "at,at_buoy,metres,sensor\n100,4,1.25,good\n101,4,9.5,worn\n102,12,2.5,good\n103,77,0.5,good\n104,9,0.75,good\n105,12,3,good\n"
 JOIN = """
 version: 1
-name: orders by city
+name: waves by coast
 nodes:
-  - {id: customers, type: source, connector: csv, config: {path: customers.csv}}
-  - {id: orders, type: source, connector: csv, config: {path: orders.csv}}
-  - {id: paid, type: transform, op: filter, config: {where: "status = 'pagado'"}}
+  - {id: buoys, type: source, connector: csv, config: {path: buoys.csv}}
+  - {id: waves, type: source, connector: csv, config: {path: waves.csv}}
+  - {id: trusted, type: transform, op: filter, config: {where: "sensor = 'good'"}}
   - id: joined
     type: transform
     op: sql
     config:
       memory_limit_mb: 256
-      query: SELECT c.city, count(DISTINCT c.id) AS customers, count(*) AS orders, round(sum(p.amount), 2) AS billed FROM c JOIN p ON c.id = p.customer_id GROUP BY c.city ORDER BY billed DESC
+      query: SELECT b.coast, count(DISTINCT b.buoy) AS buoys, max(w.metres) AS highest, avg(w.metres) AS mean FROM b JOIN w ON b.buoy = w.at_buoy GROUP BY b.coast
   - {id: out, type: sink, connector: csv, config: {path: out, single_file: true}}
 edges:
-  - {from: customers, to: joined, port: c}
-  - {from: orders, to: paid}
-  - {from: paid, to: joined, port: p}
+  - {from: buoys, to: joined, port: b}
+  - {from: waves, to: trusted}
+  - {from: trusted, to: joined, port: w}
   - {from: joined, to: out}
 """
 
 
 @pytest.fixture
 def folder(tmp_path):
-    (tmp_path / "customers.csv").write_text(CUSTOMERS)
-    (tmp_path / "orders.csv").write_text(ORDERS)
+    (tmp_path / "buoys.csv").write_text(BUOYS)
+    (tmp_path / "waves.csv").write_text(WAVES)
     return str(tmp_path)
 
 
@@ -45,10 +45,10 @@ def edges(*pairs):
 
 def test_join_pipeline(spark, folder, rows):
     p = Pipeline.from_yaml(JOIN, base=folder)
-    assert rows(p.build(spark)["joined"]) == [("Santiago", 1, 1, 20.0), ("Santo Domingo", 2, 2, 170.5)]
+    assert rows(p.build(spark)["joined"]) == [("east", 1, 0.75, 0.75), ("west", 2, 3.0, 2.25)]
     report = p.run(spark)
     by = {n.node: n for n in report.nodes}
-    assert report.succeeded and by["orders"].rows_out == 5 and by["paid"].rows_out == 4 and by["joined"].rows_in == 7 and by["out"].rows_in == 2
+    assert report.succeeded and by["waves"].rows_out == 6 and by["trusted"].rows_out == 5 and by["joined"].rows_in == 9 and by["out"].rows_in == 2
     assert spark.read.csv(f"{folder}/out", header=True).count() == 2
     assert report.to_frame(spark, "r1").filter("kind = 'sink'").first().rows_in == 2
 
@@ -129,3 +129,64 @@ def test_plugins(spark, rows):
             return [pa.RecordBatch.from_pydict({"n": [self.n]})]
 
     assert rows(plugins.batch_udf(spark.range(100).repartition(3), Count, {}, "n long", scope="global")) == [(100,)]
+
+
+def steps(frame):
+    """(node, column): the direct ones as (in_node, in_column, derivation), and the names of the indirect ones."""
+    direct, indirect = {}, {}
+    for r in frame.collect():
+        if r.edge == "direct":
+            direct.setdefault((r.node, r.column), set()).add((r.in_node, r.in_column, r.derivation))
+        else:
+            indirect.setdefault((r.node, r.column), set()).add(r.in_column)
+    return direct, indirect
+
+
+def linked(spark, *middle, ends="null"):
+    """The edges of a chain: ten generated rows (id, value, label), ``middle``, a sink."""
+    spec = {"nodes": nodes(G, *middle, ("s", "sink", ends)), "edges": edges(*zip(("g", *(m[0] for m in middle)), (*(m[0] for m in middle), "s"), strict=True))}
+    return steps(Pipeline(spec).lineage(spark))
+
+
+def test_lineage_of_projections(spark):
+    direct, indirect = linked(spark, ("r", "transform", "rename", {"columns": {"id": "value", "value": "id"}}), ("p", "transform", "select", {"columns": ["value"]}), ("l", "transform", "limit", {"rows": 3}))
+    assert direct["r", "value"] == {("g", "id", 0)} and direct["r", "id"] == {("g", "value", 0)} and direct["r", "label"] == {("g", "label", 0)}
+    assert direct["p", "value"] == {("r", "value", 0)} and direct["l", "value"] == {("p", "value", 0)} and direct["s", "value"] == {("l", "value", 0)}
+    assert not indirect and not any(node == "g" for node, _ in direct)
+
+
+def test_lineage_of_expressions(spark):
+    derived = {"both": "id + length(label)", "same": "`VALUE`", "one": "1"}
+    direct, indirect = linked(spark, ("f", "transform", "filter", {"where": "value > 3 OR label = 'x'"}), ("d", "transform", "derive", {"columns": derived}), ("a", "transform", "aggregate", {"group_by": ["same"], "aggregates": {"n": "count(*)", "most": "max(both) - min(id)"}}))
+    assert indirect["f", "id"] == {"value", "label"} and direct["f", "id"] == {("g", "id", 0)}
+    assert direct["d", "both"] == {("f", "id", 1), ("f", "label", 1)} and direct["d", "same"] == {("f", "VALUE".lower(), 0)} and ("d", "one") not in direct
+    assert direct["a", "most"] == {("d", "both", 2), ("d", "id", 2)} and ("a", "n") not in direct
+    assert indirect["a", "n"] == {"same"} and direct["a", "same"] == {("d", "same", 0)}
+
+
+def test_lineage_of_sql(spark):
+    query = "WITH x AS (SELECT id AS i, label FROM g WHERE value > 1) SELECT i, upper(label) AS big, 5 AS five FROM x"
+    direct, indirect = linked(spark, ("q", "transform", "sql", {"query": query}))
+    assert direct["q", "i"] == {("g", "id", 0)} and indirect["q", "i"] == {"value", "label"}
+    assert direct["q", "big"] == {("g", c, 3) for c in ("id", "value", "label")}  # not traced: whatever the query reads
+    direct, _ = linked(spark, ("q", "transform", "sql", {"query": "SELECT id AS x FROM g UNION ALL SELECT length(label) FROM g"}))
+    assert direct["q", "x"] == {("g", "id", 3), ("g", "label", 3)}
+
+
+def test_lineage_of_fan_in_and_plugins(spark):
+    spec = {"nodes": nodes(G, ("h", "source", "generator", {"rows": 1}), ("p", "transform", "identity"), ("s", "sink", "parquet", {"path": "/tmp/x"})), "edges": edges(("g", "s"), ("h", "p"), ("p", "s"))}
+    direct, _ = steps(Pipeline(spec).lineage(spark))
+    assert direct["s", "id"] == {("g", "id", 0), ("p", "id", 0)} and direct["p", "id"] == {("h", c, 3) for c in ("id", "value", "label")}
+
+
+def test_lineage_across_pipelines(spark, folder):
+    first = Pipeline.from_yaml(JOIN.replace("memory_limit_mb: 256", "memory_limit_mb: 64"), base=folder)
+    assert first.run(spark).succeeded
+    second = Pipeline({"name": "report", "nodes": nodes(("again", "source", "csv", {"path": f"{folder}//out/"}), ("twice", "transform", "derive", {"columns": {"double": "highest * 2"}}), ("s", "sink", "null")), "edges": edges(("again", "twice"), ("twice", "s"))})
+    schema = "pipeline string, node string, column string, path string"
+    wrote = spark.createDataFrame([(first.name, "out", c, f"{folder}/out") for c in ("coast", "highest")], schema)
+    reads = spark.createDataFrame([(second.name, "again", c, f"{folder}//out/") for c in ("coast", "highest")], schema)
+    graph = lineage.across(first.lineage(spark).unionByName(second.lineage(spark)), lineage.file_edges(wrote, reads))
+    found = {(r.column, r.in_column): (r.in_node, r.derivation) for r in lineage.resolve(graph).filter("node = 'report:s'").collect()}
+    assert found["coast", "coast"] == ("waves by coast:buoys", 0) and found["double", "metres"] == ("waves by coast:waves", 3)
+    assert {r.node for r in lineage.impact(graph, "waves by coast:waves", "sensor").collect()} >= {"waves by coast:trusted", "waves by coast:joined", "report:twice", "report:s"}
