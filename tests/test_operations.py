@@ -118,12 +118,12 @@ EDGES = "pipeline string, node string, column string, in_node string, in_column
 
 def test_lineage(spark, rows):
     e = spark.createDataFrame(
-        [("A", "mul", "total", "read", "spend", 1, "direct"), ("A", "out", "total", "mul", "total", 0, "direct"), ("A", "out", "total", "read", "city", 0, "indirect"), ("B", "sum", "gasto", "again", "total", 2, "direct")], EDGES
+        [("A", "mul", "total", "read", "spend", 1, "direct"), ("A", "out", "total", "mul", "total", 0, "direct"), ("A", "out", "total", "read", "city", 0, "indirect"), ("B", "sum", "spent", "again", "total", 2, "direct")], EDGES
     )
     files = lineage.file_edges(spark.createDataFrame([("A", "out", "total", "/d/./x/")], "pipeline string, node string, column string, path string"), spark.createDataFrame([("B", "again", "total", "/d//x")], "pipeline string, node string, column string, path string"))
     graph = lineage.across(e, files)
     found = {(r.node, r.column): (r.in_node, r.in_column, r.derivation) for r in lineage.resolve(graph).collect()}
-    assert found["B:sum", "gasto"] == ("A:read", "spend", 2) and found["A:out", "total"] == ("A:read", "spend", 1)
+    assert found["B:sum", "spent"] == ("A:read", "spend", 2) and found["A:out", "total"] == ("A:read", "spend", 1)
     assert {(r.node, r.in_column) for r in lineage.indirect(graph).collect()} == {("A:out", "city"), ("B:again", "city"), ("B:sum", "city")}
     assert {r.node for r in lineage.impact(graph, "A:read", "spend").collect()} == {"A:mul", "A:out", "B:again", "B:sum"}
 
@@ -148,7 +148,7 @@ REC = T.StructType([T.StructField("id", T.LongType()), T.StructField("ok", T.Boo
 def test_json_records(spark, rows):
     df = spark.createDataFrame([(1, '{"data":{"items":[{"id":7,"ok":true},{"id":8}]}}'), (2, '{"data":{"items":null}}'), (3, None)], "k long, p string")
     assert rows(jsonrecords.json_records(df, "p", ".data..items", REC, ["k"])) == [(1, 7, True), (1, 8, None)]
-    for bad in ('{"resultados":[]}', '{"data":{"items":5}}', "x"):
+    for bad in ('{"tides":[]}', '{"data":{"items":5}}', "x"):
         other = spark.createDataFrame([(4, bad)], "k long, p string")
         with pytest.raises(Exception, match="no list at"):
             jsonrecords.json_records(other, "p", "data.items", REC).collect()
