@@ -162,6 +162,13 @@ def agg_approx_distinct(spark, sf):
     return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"))
 
 
+@native("agg_approx_error", "SELECT l_returnflag, true AS near FROM lineitem GROUP BY l_returnflag")
+def agg_approx_error(spark, sf):
+    """Whether the approximate count is within 10 % (five standard errors) of the exact one."""
+    approximate, exact = F.approx_count_distinct("l_partkey", 0.02), F.count_distinct("l_partkey")
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg((F.abs(approximate - exact) <= exact * 0.1).alias("near"))
+
+
 @native("win_running_sum", "SELECT DISTINCT o_orderdate, CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) OVER (ORDER BY o_orderdate) AS DOUBLE) AS running FROM orders")
 def win_running_sum(spark, sf):
     price = F.col("o_totalprice").cast("decimal(18,4)")

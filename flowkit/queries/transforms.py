@@ -99,6 +99,15 @@ def op_limit(spark, sf):
     return basic.limit(table(spark, sf, "lineitem"), 100)
 
 
+@query("op_limit_rows", "SELECT least(count(*), 100) AS n, true AS given FROM lineitem")
+def op_limit_rows(spark, sf):
+    """How many rows a limit gives, and whether all are rows of the table."""
+    lineitem = table(spark, sf, "lineitem")
+    found = basic.limit(lineitem, 100)
+    seen = found.select(F.lit(False).alias("stray")).union(found.exceptAll(lineitem).select(F.lit(True)))
+    return seen.agg(F.count_if(~F.col("stray")).alias("n"), (F.count_if("stray") == 0).alias("given"))
+
+
 @query("set_fan_in", "SELECT c_custkey AS k, c_acctbal AS balance FROM customer UNION ALL SELECT s_suppkey, s_acctbal FROM supplier")
 def set_fan_in(spark, sf):
     one = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("balance"))
