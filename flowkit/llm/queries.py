@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, jaccard, media, pii, quality, substring, toxicity, urls
+from . import bpe, decontam, html, jaccard, media, pii, quality, substring, suffixdedup, toxicity, urls
 from .common import fold, table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -124,6 +124,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes left when every string of 200 bytes that starts at two places or more is cut."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = suffixdedup.repeated_bytes(docs, span=200)
+    out = suffixdedup.with_spans(docs, spans).select("doc_id", suffixdedup.cut_bytes()("text", "spans").alias("c"))
+    return out.select("doc_id", "c.n_bytes", "c.n_removed", "c.n_spans", F.sha2("c.kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_pii": op2_pii,
@@ -135,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_bpe": op10_bpe,
+    "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
 
 def _level(level: str, above: str) -> str:
@@ -190,5 +199,17 @@ WITH texts AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS words FRO
     kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS kept FROM placed ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
 SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM texts LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+# bytes as pairs of hexadecimal digits: windows are of 400 digits, from odd places
+_SUFFIX_SQL = """
+WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits FROM documents),
+    windows AS (SELECT doc_id, i, md5(digits[2 * i + 1:2 * i + 400]) AS h FROM (SELECT doc_id, digits, unnest(range(0, len(digits) // 2 - 199)) AS i FROM texts WHERE len(digits) >= 400)),
+    repeated AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+    starts AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 200, true)::INT AS opens FROM windows JOIN repeated USING (h)),
+    numbered AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM starts),
+    spans AS (SELECT doc_id, k, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY doc_id, k),
+    sided AS (SELECT doc_id, k, a, b, coalesce(lag(b) OVER w, 0) AS at, lead(a) OVER w AS following FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+    cut AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(digits[2 * at + 1:2 * a] || CASE WHEN following IS NULL THEN digits[2 * b + 1:] ELSE '' END, '' ORDER BY k) AS kept FROM sided JOIN texts USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(digits) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(from_hex(coalesce(kept, digits))) AS kept_sha256 FROM texts LEFT JOIN cut USING (doc_id)
+"""
 
-ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": _JACCARD_SQL, "op8_url_filters": _URL_SQL, "op9_substring_dedup": _SUBSTRING_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": _JACCARD_SQL, "op8_url_filters": _URL_SQL, "op9_substring_dedup": _SUBSTRING_SQL, "op13_suffix_array_dedup": _SUFFIX_SQL}
