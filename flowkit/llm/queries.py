@@ -199,16 +199,17 @@ WITH texts AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS words FRO
     kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS kept FROM placed ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
 SELECT doc_id, len(words) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM texts LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
-# bytes as pairs of hexadecimal digits: windows are of 400 digits, from odd places
+# bytes as pairs of hexadecimal digits; 300 windows of 400 digits at a time are cut out of a part of the text
 _SUFFIX_SQL = """
 WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits FROM documents),
-    windows AS (SELECT doc_id, i, md5(digits[2 * i + 1:2 * i + 400]) AS h FROM (SELECT doc_id, digits, unnest(range(0, len(digits) // 2 - 199)) AS i FROM texts WHERE len(digits) >= 400)),
+    blocks AS (SELECT doc_id, from_at, digits[2 * from_at + 1:2 * from_at + 998] AS part FROM (SELECT doc_id, digits, unnest(range(0, len(digits) // 2 - 199, 300)) AS from_at FROM texts WHERE len(digits) >= 400)),
+    windows AS (SELECT doc_id, from_at + j AS i, md5(part[2 * j + 1:2 * j + 400]) AS h FROM (SELECT doc_id, from_at, part, unnest(range(0, len(part) // 2 - 199)) AS j FROM blocks)),
     repeated AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
     starts AS (SELECT doc_id, i, coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 200, true)::INT AS opens FROM windows JOIN repeated USING (h)),
     numbered AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM starts),
     spans AS (SELECT doc_id, k, min(i) AS a, max(i) + 200 AS b FROM numbered GROUP BY doc_id, k),
-    sided AS (SELECT doc_id, k, a, b, coalesce(lag(b) OVER w, 0) AS at, lead(a) OVER w AS following FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
-    cut AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(digits[2 * at + 1:2 * a] || CASE WHEN following IS NULL THEN digits[2 * b + 1:] ELSE '' END, '' ORDER BY k) AS kept FROM sided JOIN texts USING (doc_id) GROUP BY doc_id)
+    sided AS (SELECT doc_id, k, a, b, coalesce(lag(b) OVER w, 0) AS since, lead(a) OVER w AS following FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
+    cut AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(digits[2 * since + 1:2 * a] || CASE WHEN following IS NULL THEN digits[2 * b + 1:] ELSE '' END, '' ORDER BY k) AS kept FROM sided JOIN texts USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, len(digits) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(from_hex(coalesce(kept, digits))) AS kept_sha256 FROM texts LEFT JOIN cut USING (doc_id)
 """
 

@@ -238,9 +238,9 @@ def repeated_bytes(docs: DataFrame, span: int = 200, id_column: str = "doc_id",
     docs = _one_row_each(docs.filter(F.col("doc").isNotNull() & (F.octet_length("text") >= span)))
     every = written(docs.mapInArrow(_segments(span), "h long, d long, ahead int, n int, doc long, starts array<int>"), "segments")
     # a hot minimizer's or segment's rows lie right below the joins, where Spark can split them; what they meet has one row a key
-    recurring = every.groupBy("h").agg(F.sum(F.size("starts")).alias("times")).filter("times > 1").select("h")
+    recurring = written(every.groupBy("h").agg(F.sum(F.size("starts")).alias("times")).filter("times > 1").select("h"), "minimizers")
     found = written(every.join(recurring, "h"), "recurring")
-    discard(every)
+    discard(every, recurring)
     distinct = found.groupBy("h", "d").agg(F.sum(F.size("starts")).alias("times"), F.min(F.struct("doc", F.element_at("starts", 1).alias("at"), "ahead", "n")).alias("x"))
     distinct = written(distinct.select("h", "d", "times", "x.*"), "distinct")
     several = written(distinct.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1"), "several")
