@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, jaccard, media, pii, quality, substring, suffixdedup, toxicity, urls
+from . import bpe, decontam, divergence, html, jaccard, media, pii, quality, substring, suffixdedup, toxicity, urls
 from .common import fold, table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -124,6 +124,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language diverge in their words: pairs of sources, and each source's own terms."""
+    return divergence.audit(table(spark, sf_dir, "documents"), min_documents=10, top=10)
+
+
 def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes left when every string of 200 bytes that starts at two places or more is cut."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -143,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filters": op8_url_filters,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_bpe": op10_bpe,
+    "op11_source_divergence": op11_source_divergence,
     "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
 
@@ -212,5 +218,23 @@ WITH texts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS digits FROM doc
     cut AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(digits[2 * since + 1:2 * a] || CASE WHEN following IS NULL THEN digits[2 * b + 1:] ELSE '' END, '' ORDER BY k) AS kept FROM sided JOIN texts USING (doc_id) GROUP BY doc_id)
 SELECT doc_id, len(digits) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(from_hex(coalesce(kept, digits))) AS kept_sha256 FROM texts LEFT JOIN cut USING (doc_id)
 """
+_SHARE = "1 + (1000000000 * (coalesce({}, 0) + 2)) // (coalesce({}, 0) + 2 * v)"
+_DIVERGENCE_SQL = f"""
+WITH texts AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms FROM documents),
+    kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM texts) GROUP BY lang, term HAVING count(*) >= 10),
+    vocabulary AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+    sources AS (SELECT DISTINCT lang, source FROM texts),
+    counts AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(terms) AS term FROM texts) JOIN kept USING (lang, term) GROUP BY lang, source, term),
+    totals AS (SELECT lang, source, sum(n)::BIGINT AS total FROM counts GROUP BY lang, source),
+    lang_counts AS (SELECT lang, term, sum(n)::BIGINT AS n FROM counts GROUP BY lang, term),
+    lang_totals AS (SELECT lang, sum(n)::BIGINT AS total FROM counts GROUP BY lang),
+    q AS (SELECT lang, term, {_SHARE.format("n", "total")} AS q FROM lang_counts JOIN lang_totals USING (lang) JOIN vocabulary USING (lang)),
+    p AS (SELECT lang, source, term, n, {_SHARE.format("n", "total")} AS p FROM sources JOIN kept USING (lang) JOIN vocabulary USING (lang) LEFT JOIN counts USING (lang, source, term) LEFT JOIN totals USING (lang, source)),
+    sums AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p))::BIGINT AS value FROM p AS a JOIN p AS b USING (lang, term) WHERE a.source <> b.source GROUP BY a.lang, a.source, b.source),
+    pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM sources AS a JOIN sources AS b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON (sums.lang, sums.source, sums.item) = (a.lang, a.source, b.source)),
+    own AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (FROM pairs UNION ALL FROM own))
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
 
-ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": _JACCARD_SQL, "op8_url_filters": _URL_SQL, "op9_substring_dedup": _SUBSTRING_SQL, "op13_suffix_array_dedup": _SUFFIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": _JACCARD_SQL, "op8_url_filters": _URL_SQL, "op9_substring_dedup": _SUBSTRING_SQL, "op11_source_divergence": _DIVERGENCE_SQL, "op13_suffix_array_dedup": _SUFFIX_SQL}
