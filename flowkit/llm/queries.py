@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, divergence, html, jaccard, media, pii, quality, substring, suffixdedup, toxicity, urls
+from . import bpe, decontam, divergence, html, jaccard, media, negatives, pii, quality, substring, suffixdedup, toxicity, urls
 from .common import fold, table
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
@@ -129,6 +129,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), min_documents=10, top=10)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each anchor and positive the rows of other labels that score from 50 to 95 % of the positive."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return negatives.hard_negatives(rows, every=50, positives=5, negatives=3, low=(50, 100), high=(95, 100))
+
+
 def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes left when every string of 200 bytes that starts at two places or more is cut."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -149,6 +155,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_bpe": op10_bpe,
     "op11_source_divergence": op11_source_divergence,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_suffix_array_dedup": op13_suffix_array_dedup,
 }
 
@@ -236,5 +243,12 @@ WITH texts AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source
     ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (FROM pairs UNION ALL FROM own))
 SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """
+_NEGATIVES_SQL = """
+WITH kept AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scores AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM kept AS a JOIN kept AS b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+    positives AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)::INT AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id) WHERE NOT same AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score QUALIFY rank <= 3
+"""
 
-ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": _JACCARD_SQL, "op8_url_filters": _URL_SQL, "op9_substring_dedup": _SUBSTRING_SQL, "op11_source_divergence": _DIVERGENCE_SQL, "op13_suffix_array_dedup": _SUFFIX_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_jaccard_join": _JACCARD_SQL, "op8_url_filters": _URL_SQL, "op9_substring_dedup": _SUBSTRING_SQL, "op11_source_divergence": _DIVERGENCE_SQL, "op12_hard_negatives": _NEGATIVES_SQL, "op13_suffix_array_dedup": _SUFFIX_SQL}
