@@ -23,8 +23,8 @@ from .common import written
 from .transducer import Transducer
 from .words import slabs
 
-#: Terms of a shard; bytes of the shards that are sent to tasks at once; entries that a task counts before it hands them on.
-SHARD, WAVE, ENTRIES = 1 << 16, 32 << 20, 200_000
+#: Terms of a shard; bytes of the shards that are sent to tasks at once; terms and places that a task counts before it hands them on.
+SHARD, WAVE, ENTRIES, HELD = 1 << 16, 32 << 20, 400_000, 1 << 20
 #: Terms and sources of one block of the comparison of pairs.
 TERMS, TILE = 4096, 32
 UNIT = 1_000_000_000
@@ -102,22 +102,18 @@ def _recount(shards: list[tuple[str, int, Transducer]]):
 
     def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         groups: dict[tuple[str, str], int] = {}
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # (group << 40 | ordinal, n)
 
         def merged():
-            key = np.concatenate([h[0] for h in held])
-            place = np.concatenate([h[1] for h in held])
-            n = np.concatenate([h[2] for h in held])
-            order = np.lexsort((place, key))
-            key, place, n = key[order], place[order], n[order]
-            at = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (place[1:] != place[:-1])])
-            return key[at], place[at], np.add.reduceat(n, at)
+            key, which = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            return key, np.bincount(which, np.concatenate([h[1] for h in held]), len(key)).astype(np.int64)
 
         def flushed():
             if held:
-                key, place, n = merged()
-                names = list(groups)
-                yield pa.RecordBatch.from_arrays([pa.array([names[k][0] for k in key.tolist()], pa.string()), pa.array([names[k][1] for k in key.tolist()], pa.string()), pa.array(place), pa.array(n)], ["lang", "source", "ordinal", "n"])
+                key, n = merged()
+                group = pa.array((key >> 40).astype(np.int32))
+                lang, source = (pa.DictionaryArray.from_arrays(group, pa.array([g[i] for g in groups], pa.string())).cast(pa.string()) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([lang, source, pa.array(key & ((1 << 40) - 1)), pa.array(n)], ["lang", "source", "ordinal", "n"])
             held.clear()
             groups.clear()
 
@@ -129,15 +125,14 @@ def _recount(shards: list[tuple[str, int, Transducer]]):
                 for lo, _, buf, bounds in slabs(batch.column(2).take(pa.array(rows))):
                     buf = lower[buf]
                     start, end = _terms(buf, bounds)
-                    owner = mine[lo + np.searchsorted(bounds, start, "right") - 1]
+                    owner = mine[lo + np.searchsorted(bounds, start, "right") - 1] << 40
                     for base, t in of[lang]:
                         place = t.ordinals(buf, start, end)
                         hit = place >= 0
-                        both, n = np.unique(np.stack([owner[hit], place[hit] + base], 1), axis=0, return_counts=True) if hit.any() else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-                        held.append((both[:, 0], both[:, 1], n))
-            if sum(len(h[0]) for h in held) > ENTRIES:
+                        held.append(np.unique(owner[hit] | place[hit] + base, return_counts=True))
+            if sum(len(h[0]) for h in held) > HELD:
                 held[:] = [merged()]
-                if len(held[0][0]) > ENTRIES // 2:
+                if len(held[0][0]) > HELD // 2:
                     yield from flushed()
         yield from flushed()
 

@@ -91,32 +91,40 @@ class Transducer(NamedTuple):
     def ordinals(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Ordinals of the byte strings ``buf[start:end]``; -1 for those that are no term."""
         out = np.full(len(start), -1, np.int64)
-        who, at, total, state = np.arange(len(start)), start.astype(np.int64), np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
-        stop = end.astype(np.int64)
-        while True:
+        who, at, stop = np.arange(len(start)), start.astype(np.int64), end.astype(np.int64)
+        total, state = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        while len(who):
             over = at == stop
-            ends = over & self.final[state]
-            out[who[ends]] = total[ends]
-            go = ~over
-            who, at, total, state, stop = who[go], at[go], total[go], state[go], stop[go]
-            if not len(who):
-                return out
-            key = state << 8 | buf[at]
-            slot, found = _slots(key, len(self.key)), np.full(len(key), -1, np.int64)
-            asking = np.arange(len(key))
-            while len(asking):
-                there = self.key[slot]
-                hit = there == key[asking]
-                found[asking[hit]] = slot[hit]
-                on = ~hit & (there >= 0)
-                asking, slot = asking[on], (slot[on] + 1) & (len(self.key) - 1)
-            live = found >= 0
-            who, at, stop, found = who[live], at[live] + 1, stop[live], found[live]
-            total, state = total[live] + self.before[found], self.target[found].astype(np.int64)
+            if over.any():
+                ends = over & self.final[state]
+                out[who[ends]] = total[ends]
+                go = np.flatnonzero(~over)
+                who, at, stop, total, state = who[go], at[go], stop[go], total[go], state[go]
+            slot = self._found(state << 8 | buf[at])
+            live = slot >= 0
+            if not live.all():
+                live = np.flatnonzero(live)
+                who, at, stop, total, slot = who[live], at[live], stop[live], total[live], slot[live]
+            at, total, state = at + 1, total + self.before[slot], self.target[slot].astype(np.int64)
+        return out
+
+    def _found(self, key: np.ndarray) -> np.ndarray:
+        """The slots of steps; -1 for those that there are not."""
+        slot = _slots(key, len(self.key))
+        there = self.key[slot]
+        asking = np.flatnonzero(there != key)
+        while len(asking):
+            there = self.key[slot[asking]]
+            none = there < 0
+            slot[asking[none]] = -1
+            asking = asking[~none & (there != key[asking])]
+            slot[asking] = (slot[asking] + 1) & (len(self.key) - 1)
+            asking = asking[self.key[slot[asking]] != key[asking]]
+        return slot
 
 
 def _slots(key: np.ndarray, size: int) -> np.ndarray:
-    return ((key.astype(np.uint64) * _SPREAD) >> np.uint64(40)).astype(np.int64) & (size - 1)
+    return ((key.view(np.uint64) * _SPREAD) >> np.uint64(40)).view(np.int64) & (size - 1)
 
 
 def _placed(key: np.ndarray, target: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
