@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_keys, written
 from .transducer import Transducer
 from .words import slabs
 
@@ -27,6 +27,8 @@ from .words import slabs
 SHARD, WAVE, ENTRIES, HELD = 1 << 16, 32 << 20, 400_000, 1 << 20
 #: Terms and sources of one block of the comparison of pairs.
 TERMS, TILE = 4096, 32
+#: Most groups whose sizes are broadcast.
+GROUPS = 20_000
 UNIT = 1_000_000_000
 #: Bytes of terms with A-Z in lower case; of others, a space.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -215,6 +217,7 @@ def audit(docs: DataFrame, min_documents: int = 10, top: int = 10, shard: int =
     vocabulary = based.groupBy("lang").agg(F.sum("n").alias("v"))
     totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = groups.join(vocabulary, "lang", "left").join(totals, ["lang", "source"], "left").fillna(0, ["v", "total"])
+    groups = groups.withColumn("lang_total", F.sum("total").over(Window.partitionBy("lang")))
     groups = groups.withColumn("idx", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1)
     groups = written(groups.withColumn("tiles", F.expr(f"count(*) over (partition by lang) div {TILE} + 1")), "groups")
 
@@ -239,8 +242,8 @@ def _waves(based: DataFrame, most: int) -> Iterator[list[tuple[str, str]]]:
 def _top_terms(counts: DataFrame, groups: DataFrame, top: int) -> DataFrame:
     share = lambda n, total: F.expr(f"1 + cast({UNIT} as decimal(10, 0)) * (cast({n} as decimal(20, 0)) + 2) div ({total} + 2 * v)")
     every = counts.groupBy("lang", "ordinal").agg(F.sum("n").alias("lang_n"))
-    lang_totals = counts.groupBy("lang").agg(F.sum("n").alias("lang_total"))
-    used = counts.join(every, ["lang", "ordinal"]).join(groups.select("lang", "source", "v", "total"), ["lang", "source"]).join(lang_totals, "lang")
+    of_group = small_keys(groups.select("lang", "source", "v", "total", "lang_total"), GROUPS)  # few keys, each of many rows
+    used = counts.join(every, ["lang", "ordinal"]).join(of_group, ["lang", "source"])
     used = used.withColumn("p", share("n", "total")).withColumn("q", share("lang_n", "lang_total")).filter("p > q")
     return _ranked(used.withColumn("value", F.expr("(p - q) * (p - q) div (p + q)")), "term", "ordinal", top)
 
