@@ -1,63 +1,33 @@
-"""Where a node's columns come from, one hop back, found by asking Spark to analyse empty inputs.
-
-An expression reads a column if it cannot be analysed without it; a column of a
-query is a copy if it keeps the metadata that its input was tagged with.
-"""
+"""Where a node's columns come from, one hop back, from plans over empty inputs that Spark has analysed."""
 
 from __future__ import annotations
 
-import logging
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators import basic
+from .traces import AGGREGATED, COMPUTED, COPY, UNKNOWN, attributes_read, trace
 
 SCHEMA = "pipeline string, node string, column string, in_node string, in_column string, derivation int, edge string"
-COPY, COMPUTED, AGGREGATED, UNKNOWN = range(4)
-TAG = "flowkit.column"
 
 Inputs = dict[str, tuple[str, DataFrame]]
 Step = tuple[str, str, str, int, str]
 
 
-def _without(df: DataFrame, columns: list[str]) -> DataFrame:
-    """No rows, and df's columns but these."""
-    return df.sparkSession.createDataFrame([], T.StructType([f for f in df.schema if f.name not in columns]))
-
-
-def _analysed(made: Callable[[], object]) -> bool:
-    """Whether Spark can analyse it; a refusal is an answer here, so it is not logged as an error."""
-    log = logging.getLogger("SQLQueryContextLogger")
-    was, log.disabled = log.disabled, True
-    try:
-        made()
-    except AnalysisException:
-        return False
-    finally:
-        log.disabled = was
-    return True
-
-
-def _needed(columns: list[str], works_without: Callable[[list[str]], bool]) -> list[str]:
-    """Those of ``columns`` that something needs; halves that it works without are not looked into."""
-    if not columns or works_without(columns):
-        return []
-    if len(columns) == 1:
-        return columns
-    half = len(columns) // 2
-    return _needed(columns[:half], works_without) + _needed(columns[half:], works_without)
+def _empty(df: DataFrame) -> DataFrame:
+    """No rows and df's columns."""
+    return df.sparkSession.createDataFrame([], df.schema)
 
 
 def read_by(df: DataFrame, *expressions: str) -> list[str]:
     """The columns of df that SQL expressions read; none for ``count(*)``."""
-
-    works_without = lambda columns: _analysed(lambda: _without(df, columns).select(*map(F.expr, expressions)).schema)
-    return _needed(list(dict.fromkeys(df.columns)), works_without)
+    df = _empty(df)
+    leaf = df._jdf.queryExecution().analyzed()
+    read = attributes_read(df.select(*map(F.expr, expressions))._jdf.queryExecution().analyzed(), leaf)
+    output = leaf.output()
+    return list(dict.fromkeys(c for i, c in enumerate(df.columns) if output.apply(i).exprId().id() in read))
 
 
 def _is_column(df: DataFrame, expression: str) -> bool:
@@ -102,30 +72,19 @@ def _expressions(kind: str, config: dict, ins: Inputs, out: list[str]) -> Iterat
 
 
 def _query(config: dict, ins: Inputs) -> Iterator[Step]:
-    """Free SQL. Copied columns are traced; others are of unknown derivation from whatever the query reads.
-
-    What is read and not copied may also decide about rows. A union keeps the tag
-    of its first branch alone, so beside one no column counts as a copy.
-    """
-    tagged = {}
-    for port, (_, df) in ins.items():
-        fields = [T.StructField(f.name, f.dataType, True, {TAG: [port, f.name]}) for f in df.schema]
-        tagged[port] = df.sparkSession.createDataFrame([], T.StructType(fields))
-
-    def made(frames: dict[str, DataFrame]) -> T.StructType:
-        return basic.sql(frames, config["query"], config.get("table", "input")).schema
-
-    def works_without(columns: list[tuple[str, str]]) -> bool:
-        left = {p: _without(df, [c for q, c in columns if q == p]) for p, df in tagged.items()}
-        return _analysed(lambda: made(left))
-
-    union = re.search(r"\bunion\b", config["query"], re.IGNORECASE)
-    out = {f.name: None if union else f.metadata.get(TAG) for f in made(tagged)}
-    copied = [tuple(tag) for tag in out.values() if tag]
-    reads = _needed([(p, c) for p, df in tagged.items() for c in df.columns], works_without)
-    yield from _decides(list(out), ins, [r for r in reads if r not in copied])
-    for column, tag in out.items():
-        yield from _values(column, ins, [tuple(tag)] if tag else reads, COPY if tag else UNKNOWN)
+    """Free SQL, by the analysed plan. A column may come directly from a column and be decided by it too."""
+    frames = {port: _empty(df) for port, (_, df) in ins.items()}
+    lone = config.get("table", "input")
+    views = {port: df.columns for port, df in frames.items()}
+    if len(frames) == 1:
+        views.setdefault(lone, next(iter(views.values())))
+    port_of = {v: v if v in frames else next(iter(frames)) for v in views}
+    df = basic.sql(frames, config["query"], lone)
+    found = trace(df, views)
+    yield from _decides(df.columns, ins, sorted({(port_of[v], c) for v, c in found.decides}))
+    for column, origins in zip(df.columns, found.columns, strict=True):
+        for (view, old), derivation in origins.items():
+            yield column, ins[port_of[view]][0], old, derivation, "direct"
 
 
 def edges(kind: str, config: dict, ins: Inputs, out: list[str] | None) -> Iterator[Step]:
