@@ -45,6 +45,14 @@ def src_generator(spark, sf):
     return files.generator(spark, table(spark, sf, "lineitem").count())
 
 
+@query("csv_line_breaks", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_line_breaks(spark, sf):
+    """Whole texts, with their quotes, delimiters and line breaks, written as CSV and read back."""
+    path = scratch(spark, "csv")
+    sinks.csv(table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars"), path)
+    return files.csv(spark, path)
+
+
 @query("snk_csv_roundtrip", "SELECT p_partkey, p_name, p_brand, p_type, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part")
 def snk_csv_roundtrip(spark, sf):
     path = scratch(spark, "csv")

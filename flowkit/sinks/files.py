@@ -46,9 +46,13 @@ def publish(spark: SparkSession, path: str, write: Callable[[str], None], create
 
 
 def csv(df: DataFrame, path: str, has_header: bool = True, delimiter: str = ",", create_dirs: bool = True, single_file: bool = False) -> None:
-    """A folder of CSV files, or of one file if ``single_file``; null is an empty field, an empty text is quoted."""
+    """A folder of CSV files, or of one file if ``single_file``, as RFC 4180 has them.
+
+    Null is an empty field, an empty text is quoted; quotes are doubled; fields
+    with quotes, delimiters or line breaks are quoted; blanks are kept.
+    """
     df = df.coalesce(1) if single_file else df
-    options = {"header": str(has_header).lower(), "sep": one_character(delimiter), "emptyValue": '""'}
+    options = {"header": str(has_header).lower(), "sep": one_character(delimiter), "emptyValue": '""', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
     publish(df.sparkSession, path, lambda to: df.write.options(**options).csv(to), create_dirs)
 
 
