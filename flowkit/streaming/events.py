@@ -8,6 +8,7 @@ their state by run, bounded by a watermark or by timers.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import median
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -85,19 +86,40 @@ def stalls(events: DataFrame, threshold_us: int, key: str = "run_id", at: str =
     return quiet.groupBy(key).agg(first.alias("f")).select(key, "f.at", "f.gap_us")
 
 
-def slow(runs: DataFrame, factor: float, last: int = 10, least: int = 3) -> DataFrame:
+#: Runs of one pipeline are judged a day at a time.
+DAY_US = 86_400_000_000
+
+
+def slow(runs: DataFrame, factor: float, last: int = 10, least: int = 3, bucket_us: int = DAY_US) -> DataFrame:
     """(run_id, pipeline, elapsed_ms, typical_ms): runs over ``factor`` times the median of the ``last`` successes before them.
 
     Fewer than ``least`` successes before a run judge nothing. A success counts
-    for the runs that start after it, by (started_at_us, run_id).
+    for the runs that start after it, by (started_at_us, run_id). A pipeline's
+    runs are split by the time of their start into buckets, each with the last
+    successes before it carried in; only those few rows of a bucket go through a
+    window over the whole pipeline.
     """
-    before = Window.partitionBy("pipeline").orderBy("started_at_us", "run_id").rowsBetween(Window.unboundedPreceding, -1)
-    good = F.when(F.col("status") == "succeeded", F.col("elapsed_ms"))
-    numbered = runs.withColumn("__rank", F.count(good).over(before))
-    history = runs.filter("status = 'succeeded' and elapsed_ms is not null").select("pipeline", F.col("elapsed_ms").alias("__ms"), F.row_number().over(Window.partitionBy("pipeline").orderBy("started_at_us", "run_id")).alias("__at"))
-    around = F.sort_array(F.collect_list("__ms").over(Window.partitionBy("pipeline").orderBy("__at").rowsBetween(-(last - 1), 0)))
-    medians = history.select("pipeline", F.col("__at").alias("__rank"), around.alias("__w")).select("pipeline", "__rank", F.size("__w").alias("__k"), ((F.element_at("__w", F.floor((F.size("__w") + 1) / 2).cast("int")) + F.element_at("__w", F.floor(F.size("__w") / 2).cast("int") + 1)) / 2).alias("typical_ms"))
-    joined = numbered.join(medians, ["pipeline", "__rank"]).filter((F.col("__k") >= least) & (F.col("elapsed_ms") > F.lit(float(factor)) * F.col("typical_ms")))
+    keys, order = ["pipeline", "__bucket"], ["started_at_us", "run_id"]
+    runs = runs.select("run_id", "pipeline", "started_at_us", "elapsed_ms", "status").withColumn("__bucket", F.expr(f"started_at_us div {bucket_us}"))
+    good = runs.filter("status = 'succeeded' and elapsed_ms is not null").select(*keys, *order, "elapsed_ms")
+    newest = Window.partitionBy(*keys).orderBy(F.desc("started_at_us"), F.desc("run_id"))
+    tails = good.withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") <= last).drop("__n")
+    ranked = tails.withColumn("__rank", F.row_number().over(Window.partitionBy("pipeline").orderBy(*order)))
+    passed = F.coalesce(F.sum("__kept").over(Window.partitionBy("pipeline").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    buckets = runs.select(*keys).distinct().join(tails.groupBy(*keys).agg(F.count("*").alias("__kept")), keys, "left").select(*keys, passed.cast("int").alias("__passed"))
+    # the tail of rank r is among the last ones of a bucket that r to r + last - 1 tails come before
+    carried = ranked.withColumn("__passed", F.explode(F.sequence("__rank", F.col("__rank") + last - 1))).select("pipeline", *order, "elapsed_ms", "__passed")
+    carried = carried.join(buckets, ["pipeline", "__passed"]).select("pipeline", "__bucket", *order, "elapsed_ms", F.lit(None).cast("string").alias("status"))
+
+    every = runs.select(*keys, *order, "elapsed_ms", "status", F.lit(False).alias("__carried")).union(carried.withColumn("__carried", F.lit(True)).select(*keys, *order, "elapsed_ms", "status", "__carried"))
+    counts = (F.col("__carried") | (F.col("status") == "succeeded")) & F.col("elapsed_ms").isNotNull()
+    before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = every.withColumn("__rank", F.count(F.when(counts, 1)).over(before)).filter("not __carried")
+    history = every.filter(counts).select(*keys, F.col("elapsed_ms").alias("__ms"), F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).alias("__at"))
+    around = F.sort_array(F.collect_list("__ms").over(Window.partitionBy(*keys).orderBy("__at").rowsBetween(-(last - 1), 0)))
+    middle = (F.element_at("__w", F.floor((F.size("__w") + 1) / 2).cast("int")) + F.element_at("__w", F.floor(F.size("__w") / 2).cast("int") + 1)) / 2
+    medians = history.select(*keys, F.col("__at").alias("__rank"), around.alias("__w")).select(*keys, "__rank", F.size("__w").alias("__k"), middle.alias("typical_ms"))
+    joined = numbered.join(medians, [*keys, "__rank"]).filter((F.col("__k") >= least) & (F.col("elapsed_ms") > F.lit(float(factor)) * F.col("typical_ms")))
     return joined.select("run_id", "pipeline", "elapsed_ms", "typical_ms")
 
 
@@ -156,6 +178,69 @@ def alerts_stream(events: DataFrame, stalled_after_ms: int) -> DataFrame:
     return needed.groupBy("run_id").transformWithStateInPandas(_Watch(stalled_after_ms), "run_id string, kind string, node string", "append", "processingTime")
 
 
+class _Pace(StatefulProcessor):
+    """Per pipeline: how long its last successes took, and its open runs with a timer each that goes off when one is slow."""
+
+    COLUMNS = ["pipeline", "run_id", "elapsed_ms", "typical_ms", "running"]
+
+    def __init__(self, factor: float, last: int, least: int, forget_ms: int):
+        self.factor, self.last, self.least, self.forget_ms = factor, last, least, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.took = handle.getValueState("took", "ms array<long>")
+        self.open = handle.getMapState("open", "run_id string", "since long, typical double, told boolean", self.forget_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        took = list(self.took.get()[0]) if self.took.exists() else []
+        now, out = timerValues.getCurrentProcessingTimeInMs(), []
+        for e in pd.concat(list(rows)).sort_values(["at", "run_id", "seq"]).itertuples():
+            run = (e.run_id,)
+            if e.kind == "run_started":
+                typical = median(took) if len(took) >= self.least else None
+                self.open.updateValue(run, (now, typical, False))
+                if typical is not None:
+                    self.handle.registerTimer(now + int(self.factor * typical) + 1)
+            elif e.kind == "run_finished" and self.open.containsKey(run):
+                _, typical, told = self.open.getValue(run)
+                self.open.removeKey(run)
+                if typical is not None and not told and e.elapsed_ms > self.factor * typical:
+                    out.append((key[0], e.run_id, int(e.elapsed_ms), typical, False))
+                if e.succeeded:
+                    took = [*took, int(e.elapsed_ms)][-self.last :]
+        self.took.update((took,))
+        if out:
+            yield pd.DataFrame(out, columns=self.COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, out = timerValues.getCurrentProcessingTimeInMs(), []
+        late = [(run, *state) for run, state in self.open.iterator() if state[1] is not None and not state[2] and now - state[0] > self.factor * state[1]]
+        for run, since, typical, _ in late:
+            self.open.updateValue(run, (since, typical, True))
+            out.append((key[0], run[0], now - since, typical, True))
+        if out:
+            yield pd.DataFrame(out, columns=self.COLUMNS)
+
+    def close(self) -> None:
+        pass
+
+
+def slow_stream(events: DataFrame, factor: float, last: int = 10, least: int = 3, forget_ms: int = 7 * 86_400_000) -> DataFrame:
+    """(pipeline, run_id, elapsed_ms, typical_ms, running): runs that take over ``factor`` times what is typical, once each, while they run.
+
+    events(pipeline, run_id, seq, at, kind, elapsed_ms, succeeded): starts and
+    ends of runs, each with its pipeline; other kinds and rows without a
+    pipeline or run are passed over. Typical is the median of the ``last``
+    successes that ended before the start was seen, ``least`` of them at least.
+    A run is told by a timer, in processing time since its start was seen, with
+    ``running`` true; one that ended before its timer went off, by its end. Runs
+    without an end are forgotten after ``forget_ms``.
+    """
+    needed = events.filter("kind in ('run_started', 'run_finished') and pipeline is not null and run_id is not null")
+    needed = needed.select("pipeline", "run_id", "seq", "at", "kind", F.coalesce("elapsed_ms", F.lit(0)).cast("long").alias("elapsed_ms"), F.coalesce("succeeded", F.lit(False)).alias("succeeded"))
+    return needed.groupBy("pipeline").transformWithStateInPandas(_Pace(factor, last, least, forget_ms), "pipeline string, run_id string, elapsed_ms long, typical_ms double, running boolean", "append", "processingTime")
+
+
 def deliver(alerts: DataFrame, path: str, checkpoint: str, webhook: str | None = None, **http):
     """Append each micro-batch of alerts to a table and, independently, post it; returns the running query."""
     from ..sinks.rest import rest

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import time
 from statistics import median
 
 import pytest
@@ -44,6 +45,56 @@ def test_slow_agrees_with_a_loop(spark, data):
     assert {r.run_id for r in ev.slow(runs, 2).collect()} == expected
 
 
+@FEW
+@given(st.lists(st.tuples(st.sampled_from(["p", "q"]), st.sampled_from(["succeeded", "failed"]), st.integers(0, 9), st.integers(0, 3)), min_size=1, max_size=40), st.integers(1, 5))
+def test_slow_over_many_buckets(spark, data, bucket):
+    """Runs of two pipelines at uneven times: what is carried over borders of buckets changes nothing."""
+    runs, at = [], 0
+    for i, (p, s, ms, gap) in enumerate(data):
+        at += gap
+        runs.append((f"{i:03d}", p, at, s, ms if i % 9 else None))
+    expected = set()
+    for i, p, _, _, ms in runs:
+        last = [x for j, o, _, s, x in runs if o == p and j < i and s == "succeeded" and x is not None][-4:]
+        if ms is not None and len(last) >= 2 and ms > 1.5 * median(last):
+            expected.add((i, float(median(last))))
+    found = ev.slow(spark.createDataFrame(runs, RUNS), 1.5, last=4, least=2, bucket_us=bucket)
+    assert {(r.run_id, float(r.typical_ms)) for r in found.collect()} == expected
+
+
+PACE = "pipeline string, run_id string, seq long, at long, kind string, elapsed_ms long, succeeded boolean"
+
+
+def paced(spark, folder, checkpoint, out):
+    stream = ev.slow_stream(spark.readStream.schema(PACE).json(folder), 2.0)
+    return stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime="500 milliseconds").start(out)
+
+
+def test_slow_in_a_stream(spark, tmp_path, rows):
+    """A run is told while it runs, by its timer and once; ended runs are told as the batch form tells them."""
+    folder, out = f"{tmp_path}/in", f"{tmp_path}/out"
+    runs = [(f"r{i:02d}", "p", i, "succeeded" if i % 4 else "failed", ms) for i, ms in enumerate([400, 300, 500, 400, 450, 900, 400, 5000, 100, 300, 300])]
+    ended = [e for i, (run, p, at, status, ms) in enumerate(runs) for e in ((p, run, 2 * i, 10 * at, "run_started", None, None), (p, run, 2 * i + 1, 10 * at + 5, "run_finished", ms, status == "succeeded"))]
+    going = [("p", "now", 900, 9000, "run_started", None, None), ("new", "first", 901, 9001, "run_started", None, None), (None, "x", 902, 9002, "run_started", None, None)]
+    spark.createDataFrame(ended, PACE).coalesce(1).write.mode("append").json(folder)
+    q = paced(spark, folder, f"{tmp_path}/c", out)
+    try:
+        q.processAllAvailable()
+        spark.createDataFrame(going, PACE).coalesce(1).write.mode("append").json(folder)
+        until = time.monotonic() + 60
+        while time.monotonic() < until and not spark.read.parquet(out).filter("running").count():
+            time.sleep(0.5)
+        spark.createDataFrame([("p", "now", 903, 9900, "run_finished", 9999, True)], PACE).coalesce(1).write.mode("append").json(folder)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    found = spark.read.parquet(out)
+    batch = ev.slow(spark.createDataFrame(runs, RUNS), 2.0)
+    assert rows(found.filter("not running").select("run_id", "elapsed_ms", F.col("typical_ms").cast("double"))) == rows(batch.select("run_id", "elapsed_ms", F.col("typical_ms").cast("double"))) != []
+    now = found.filter("running").collect()
+    assert [(r.run_id, r.typical_ms) for r in now] == [("now", 400.0)] and now[0].elapsed_ms > 800
+
+
 def test_upsert_prune_versions(spark, rows):
     old = spark.createDataFrame([("a", "p", 1, "succeeded", 5), ("b", "p", 2, "succeeded", 5), ("c", "p", 9, "succeeded", 5)], RUNS)
     new = spark.createDataFrame([("a", "p", 1, "failed", 6)], RUNS)
