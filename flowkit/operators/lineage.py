@@ -16,63 +16,123 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 
 KEYS = ["pipeline", "node", "column"]
+FROM = ["pipeline", "from_node", "from_column"]
+#: Steps of a walk whose results are read one by one before they are put together.
+STEPS = 8
 
 
-def _walk(first: DataFrame, hop: DataFrame, key: list[str], stepped: dict[str, Column], best: Column, better: str) -> DataFrame:
+class _Folder:
+    """Tables written to the folder that the cluster shares, each with a number that its rows add up to."""
+
+    def __init__(self, spark):
+        self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/lineage-{uuid.uuid4().hex[:12]}", 0
+
+    def write(self, df: DataFrame, number: Column | None = None) -> tuple[DataFrame, int]:
+        self.n += 1
+        seen = Observation()
+        number = F.count(F.lit(1)) if number is None else F.coalesce(F.sum(number), F.lit(0))
+        df.observe(seen, number.alias("number")).write.parquet(f"{self.path}/{self.n}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}"), seen.get["number"]
+
+
+def _chained(hops: DataFrame, values: dict, folder: _Folder, cyclic: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Columns with one hop in, each with the end of its chain; and the hops of the others, from such ends.
+
+    (KEYS, from_node, from_column, values): a chain goes up from a column while
+    there is one hop in, to a column with none or several. Each round doubles
+    the hops that a row covers, so a chain of n takes the logarithm of n rounds;
+    only rows that moved go on. ``values`` says how what two stretches carry is
+    put together. Chains that end in a cycle come from nowhere and are dropped,
+    unless ``cyclic``: they then carry what the whole cycle does.
+    """
+    carried = list(values)
+    one = F.struct("from_node", "from_column", *carried)
+    ends = hops.groupBy(*KEYS).agg(F.count("*").alias("n"), F.any_value(one).alias("x"))
+    chains, n = folder.write(ends.filter("n = 1").select(*KEYS, "x.*", F.lit(True).alias("moved")))
+    for _ in range(n.bit_length() + 1):
+        up = chains.select("pipeline", F.col("node").alias("from_node"), F.col("column").alias("from_column"), F.struct("from_node", "from_column", *carried).alias("up"))
+        further = chains.filter("moved").join(up, FROM, "left")
+        further = further.select(*KEYS, *(F.coalesce(F.col(f"up.{c}"), c).alias(c) for c in FROM[1:]), *(F.when(F.col("up").isNull(), F.col(c)).otherwise(put(F.col(c), F.col(f"up.{c}"))).alias(c) for c, put in values.items()), F.col("up").isNotNull().alias("moved"))
+        chains, moved = folder.write(further.union(chains.filter("not moved")), F.col("moved").cast("int"))
+        if not moved:
+            break
+    chains = (chains if cyclic else chains.filter("not moved")).drop("moved")
+    branching = hops.join(ends.filter("n > 1").select(*KEYS), KEYS, "left_semi").select(*KEYS, *FROM[1:], *carried)
+    up = chains.select("pipeline", F.col("node").alias("from_node"), F.col("column").alias("from_column"), F.struct("from_node", "from_column", *carried).alias("up"))
+    branching = branching.join(up, FROM, "left")
+    branching = branching.select(*KEYS, *(F.coalesce(F.col(f"up.{c}"), c).alias(c) for c in FROM[1:]), *(F.when(F.col("up").isNull(), F.col(c)).otherwise(put(F.col(c), F.col(f"up.{c}"))).alias(c) for c, put in values.items()))
+    return chains, folder.write(branching)[0]
+
+
+def _walk(first: DataFrame, hop: DataFrame, key: list[str], stepped: dict[str, Column], best: Column, better: str, folder: _Folder) -> DataFrame:
     """Everything that ``first`` reaches along ``hop``, a join a hop: ``key`` and the best ``value``.
 
     A row of first is a column (KEYS) with what it carries; ``stepped`` says what
     is carried on over a hop, whose own columns are called k and d. Each step
-    goes on from what is new, or now ``better`` than it ``was``, and writes that
-    alone to the folder that the cluster shares. Cycles end when nothing is.
+    goes on from what is new, or now ``better`` than it ``was``. Cycles end when
+    nothing is. Every STEPS steps what is known is put together.
     """
-    spark = first.sparkSession
-    folder, paths = f"{shared_dir(spark)}/lineage-{uuid.uuid4().hex[:12]}", []
 
-    def step(df: DataFrame) -> tuple[DataFrame, int]:
-        paths.append(f"{folder}/{len(paths)}")
-        seen = Observation()
-        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(paths[-1])
-        return spark.read.schema(df.schema).parquet(paths[-1]), seen.get["rows"]
-
-    def known() -> DataFrame:
-        return spark.read.schema(front.schema).parquet(*paths).groupBy(*key).agg(best.alias("value"))
+    def known(tables: list[DataFrame]) -> DataFrame:
+        every = tables[0]
+        for t in tables[1:]:
+            every = every.union(t)
+        return every.groupBy(*key).agg(best.alias("value"))
 
-    front, rows = step(first.groupBy(*key).agg(best.alias("value")))
+    front, rows = folder.write(first.groupBy(*key).agg(best.alias("value")))
+    tables = [front]
     while rows:
         here = front.withColumnsRenamed({"node": "from_node", "column": "from_column"})
-        there = here.join(hop, ["pipeline", "from_node", "from_column"]).select(*KEYS, *(c.alias(n) for n, c in stepped.items()))
+        there = here.join(hop, FROM).select(*KEYS, *(c.alias(n) for n, c in stepped.items()))
         there = there.groupBy(*key).agg(best.alias("value"))
-        front, rows = step(there.join(known().withColumnRenamed("value", "was"), key, "left").filter(f"was is null or {better}").drop("was"))
-    return known()
+        front, rows = folder.write(there.join(known(tables).withColumnRenamed("value", "was"), key, "left").filter(f"was is null or {better}").drop("was").select(front.columns))
+        tables.append(front)
+        if len(tables) > STEPS:
+            tables = [folder.write(known(tables).select(front.columns))[0]]
+    return known(tables)
 
 
 def _hops(edges: DataFrame) -> DataFrame:
-    return edges.select(*KEYS, F.col("in_node").alias("from_node"), F.col("in_column").alias("from_column"), (F.col("edge") == "indirect").cast("int").alias("k"), F.col("derivation").alias("d"))
-
+    return edges.select(*KEYS, F.col("in_node").alias("from_node"), F.col("in_column").alias("from_column"), (F.col("edge") == "indirect").cast("int").alias("k"), F.col("derivation").alias("d")).distinct()
 
-def _derived(first: DataFrame, edges: DataFrame, carried: list[str]) -> DataFrame:
-    """KEYS, carried, kind and derivation of what the hops ``first`` lead to; a path's derivation is its largest, its kind 1 as soon as one hop is indirect."""
-    stepped = {c: F.col(c) for c in carried} | {"kind": F.greatest("kind", "k"), "value": F.greatest("value", "d")}
-    start = first.select(*KEYS, *carried, F.col("k").alias("kind"), F.col("d").alias("value"))
-    return _walk(start, _hops(edges), [*KEYS, *carried, "kind"], stepped, F.max("value"), "value > was").withColumnRenamed("value", "derivation")
 
+def _derived(hops: DataFrame, origin: Column | None = None) -> DataFrame:
+    """(KEYS, in_node, in_column, kind, derivation): the origins of columns, or of those that come from ``origin`` that one.
 
-def _from_origins(edges: DataFrame) -> DataFrame:
-    """Pairs of a column and an origin of it; pairs of two columns in between are never made."""
-    made = edges.select("pipeline", F.col("node").alias("from_node"), F.col("column").alias("from_column")).distinct()
-    first = _hops(edges).join(made, ["pipeline", "from_node", "from_column"], "left_anti").withColumns({"in_node": F.col("from_node"), "in_column": F.col("from_column")})
-    return _derived(first, edges, ["in_node", "in_column"])
+    A path's derivation is its largest, its kind 1 as soon as one hop is
+    indirect. Chains are contracted first; what is walked then is the columns
+    with several hops in, from origins, so that pairs of two columns in between
+    are never made.
+    """
+    folder = _Folder(hops.sparkSession)
+    chains, branching = _chained(hops, {"k": F.greatest, "d": F.greatest}, folder)
+    several = branching.select(*KEYS).distinct()
+    inner = several.select("pipeline", F.col("node").alias("from_node"), F.col("column").alias("from_column"))
+    # a chain that a cycle feeds was dropped; what is left of its columns are no origins
+    made = hops.select(*KEYS).distinct().select("pipeline", F.col("node").alias("from_node"), F.col("column").alias("from_column"))
+    first = branching.join(made, FROM, "left_anti").withColumns({"in_node": F.col("from_node"), "in_column": F.col("from_column")})
+    ended = chains.join(made, FROM, "left_anti").select(*KEYS, F.col("from_node").alias("in_node"), F.col("from_column").alias("in_column"), F.col("k").alias("kind"), F.col("d").alias("derivation"))
+    if origin is not None:
+        first, ended = first.filter(origin), ended.filter(origin)
+    if branching.isEmpty():
+        return ended
+    start = first.select(*KEYS, "in_node", "in_column", F.col("k").alias("kind"), F.col("d").alias("value"))
+    stepped = {"in_node": F.col("in_node"), "in_column": F.col("in_column"), "kind": F.greatest("kind", "k"), "value": F.greatest("value", "d")}
+    walked = _walk(start, branching, [*KEYS, "in_node", "in_column", "kind"], stepped, F.max("value"), "value > was", folder)
+    walked = folder.write(walked.withColumnRenamed("value", "derivation"))[0]
+    below = chains.join(inner, FROM, "left_semi").join(walked.withColumnsRenamed({"node": "from_node", "column": "from_column"}), FROM)
+    below = below.select(*KEYS, "in_node", "in_column", F.greatest("kind", "k").alias("kind"), F.greatest("derivation", "d").alias("derivation"))
+    return ended.union(walked.select(ended.columns)).union(below)
 
 
 def resolve(edges: DataFrame) -> DataFrame:
     """(pipeline, node, column, in_node, in_column, derivation): every column's origins over direct edges."""
-    return _from_origins(edges.filter("edge = 'direct'")).drop("kind")
+    return _derived(_hops(edges.filter("edge = 'direct'"))).drop("kind")
 
 
 def indirect(edges: DataFrame) -> DataFrame:
     """(pipeline, node, column, in_node, in_column): origins that reach a column through an indirect edge."""
-    return _from_origins(edges).filter("kind = 1").select(*KEYS, "in_node", "in_column")
+    return _derived(_hops(edges)).filter("kind = 1").select(*KEYS, "in_node", "in_column")
 
 
 def normalised_path(path):
@@ -102,13 +162,29 @@ def across(edges: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def impact(edges: DataFrame, in_node, in_column) -> DataFrame:
-    """(pipeline, node, column, derivation, kind): what is derived from, or indirectly uses, a column."""
-    first = _hops(edges).filter((F.col("from_node") == in_node) & (F.col("from_column") == in_column))
-    return _derived(first, edges, []).select(*KEYS, "kind", "derivation")
+    """(pipeline, node, column, derivation, kind): what is derived from, or indirectly uses, a column.
+
+    Hops into the column itself are left out, so that it counts as an origin:
+    of itself, by way of a cycle, it is not said to be derived.
+    """
+    here = (F.col("node") == in_node) & (F.col("column") == in_column)
+    hops = _hops(edges).filter(~here)
+    return _derived(hops, (F.col("in_node") == in_node) & (F.col("in_column") == in_column)).select(*KEYS, "kind", "derivation")
 
 
 def unknown_at(edges: DataFrame) -> DataFrame:
     """(pipeline, node, column, unknown_at): the first node, by name, at which a column's chain is cut."""
+    folder = _Folder(edges.sparkSession)
     cuts = edges.filter("derivation = 3").select(*KEYS, F.col("node").alias("value")).distinct()
-    found = _walk(cuts, _hops(edges.filter("edge = 'direct'")), KEYS, {"value": F.col("value")}, F.min("value"), "value < was")
-    return found.withColumnRenamed("value", "unknown_at")
+    hops = edges.filter("edge = 'direct'").select(*KEYS, F.col("in_node").alias("from_node"), F.col("in_column").alias("from_column")).distinct()
+    # a hop carries the cut of the column that it leads to; the end of a chain has its own
+    chains, branching = _chained(hops.join(cuts, KEYS, "left"), {"value": F.least}, folder, cyclic=True)
+    met = branching.select(*KEYS, "value").union(cuts).filter("value is not null")
+    tops = branching.select("pipeline", F.col("from_node").alias("node"), F.col("from_column").alias("column")).union(branching.select(*KEYS)).distinct()
+    start = met.join(tops, KEYS, "left_semi")
+    carried = branching.select(*KEYS, *FROM[1:], F.col("value").alias("d"))
+    walked = _walk(start, carried, KEYS, {"value": F.least("value", "d")}, F.min("value"), "value < was", folder)
+    walked = folder.write(walked.union(cuts.select(walked.columns)).groupBy(*KEYS).agg(F.min("value").alias("value")))[0]
+    above = walked.select("pipeline", F.col("node").alias("from_node"), F.col("column").alias("from_column"), F.col("value").alias("above"))
+    below = chains.join(above, FROM, "left").select(*KEYS, F.least("value", "above").alias("value")).filter("value is not null")
+    return walked.union(below).groupBy(*KEYS).agg(F.min("value").alias("unknown_at"))
