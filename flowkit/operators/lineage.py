@@ -19,6 +19,8 @@ KEYS = ["pipeline", "node", "column"]
 FROM = ["pipeline", "from_node", "from_column"]
 #: Steps of a walk whose results are read one by one before they are put together.
 STEPS = 8
+#: Rows of a file of chains.
+FILE_ROWS = 250_000
 
 
 class _Folder:
@@ -27,8 +29,10 @@ class _Folder:
     def __init__(self, spark):
         self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/lineage-{uuid.uuid4().hex[:12]}", 0
 
-    def write(self, df: DataFrame, number: Column | None = None) -> tuple[DataFrame, int]:
+    def write(self, df: DataFrame, number: Column | None = None, rows: int | None = None) -> tuple[DataFrame, int]:
+        """``rows``: how many at most, if known, so that few make few files."""
         self.n += 1
+        df = df if rows is None else df.coalesce(rows // FILE_ROWS + 1)
         seen = Observation()
         number = F.count(F.lit(1)) if number is None else F.coalesce(F.sum(number), F.lit(0))
         df.observe(seen, number.alias("number")).write.parquet(f"{self.path}/{self.n}")
@@ -53,7 +57,7 @@ def _chained(hops: DataFrame, values: dict, folder: _Folder, cyclic: bool = Fals
         up = chains.select("pipeline", F.col("node").alias("from_node"), F.col("column").alias("from_column"), F.struct("from_node", "from_column", *carried).alias("up"))
         further = chains.filter("moved").join(up, FROM, "left")
         further = further.select(*KEYS, *(F.coalesce(F.col(f"up.{c}"), c).alias(c) for c in FROM[1:]), *(F.when(F.col("up").isNull(), F.col(c)).otherwise(put(F.col(c), F.col(f"up.{c}"))).alias(c) for c, put in values.items()), F.col("up").isNotNull().alias("moved"))
-        chains, moved = folder.write(further.union(chains.filter("not moved")), F.col("moved").cast("int"))
+        chains, moved = folder.write(further.union(chains.filter("not moved")), F.col("moved").cast("int"), n)
         if not moved:
             break
     chains = (chains if cyclic else chains.filter("not moved")).drop("moved")
