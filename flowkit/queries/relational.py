@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import ascending, date_bin, day_of_week, descending, int_div, strpos
 from ..operators import relational as R
+from ..operators import selection
 from .common import Query, stated, table
 
 
@@ -176,6 +177,17 @@ def win_running_sum(spark, sf):
     return found.withColumn("running", F.col("running").cast("double"))
 
 
+@native("win_running_ranges", "SELECT DISTINCT l_extendedprice, sum(CAST(l_quantity AS BIGINT)) OVER (ORDER BY l_extendedprice)::BIGINT AS running FROM lineitem")
+def win_running_ranges(spark, sf):
+    return selection.running_total(table(spark, sf, "lineitem"), "l_extendedprice", F.col("l_quantity").cast("long"))
+
+
+@native("agg_median_selected", "SELECT l_returnflag, median(l_extendedprice) AS price FROM lineitem GROUP BY l_returnflag")
+def agg_median_selected(spark, sf):
+    """Medians of a few large groups, of which no task holds the values."""
+    return selection.median(table(spark, sf, "lineitem"), ["l_returnflag"], "l_extendedprice", "price")
+
+
 @native("sort_multi", "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey")
 def sort_multi(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal").orderBy("c_mktsegment", F.desc("c_acctbal"), "c_custkey")
