@@ -9,13 +9,14 @@ reach the scans through any number of nodes.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from graphlib import CycleError, TopologicalSorter
 from pathlib import PurePosixPath
 from typing import Any
 
 import yaml
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -119,6 +120,15 @@ class RunReport:
         return spark.createDataFrame([(run_id, n.node, n.kind, n.component, n.position, n.status, n.rows_in, n.rows_out, n.elapsed_ms, n.error) for n in self.nodes], schema)
 
 
+def _texts(config: Any) -> Iterator[str]:
+    """Every text in a node's settings."""
+    if isinstance(config, str):
+        yield config
+    elif isinstance(config, dict | list):
+        for x in config.values() if isinstance(config, dict) else config:
+            yield from _texts(x)
+
+
 class Pipeline:
     """A checked graph. ``tables`` gives DataFrames to sources of the component "table"."""
 
@@ -217,11 +227,32 @@ class Pipeline:
         need = [e.source for e in self.edges if e.target == node] + self.nodes[node].after
         return next((x for x in need if x in failed), None)
 
+    def _above(self, node: str) -> set[str]:
+        """The nodes whose rows reach this one."""
+        found = {e.source for e in self.edges if e.target == node}
+        for i in reversed(self.order):
+            if i in found:
+                found |= {e.source for e in self.edges if e.target == i}
+        return found
+
+    def _at_fault(self, node: str, error: Exception) -> str:
+        """The node that an error in a node's job comes from: the first transform above with the SQL that Spark names, at the place it names."""
+        contexts = [c for c in error.getQueryContext() or [] if c.contextType().name == "SQL" and c.fragment()] if isinstance(error, PySparkException) else []
+        above = self._above(node)
+        for i in self.order:
+            if i in above and self.nodes[i].type == "transform":
+                for text in _texts(self.nodes[i].config):
+                    if any(text.startswith(c.fragment(), max(c.startIndex(), 0)) for c in contexts):
+                        return i
+        return node
+
     def run(self, spark: SparkSession) -> RunReport:
         """Run every sink in order. A node that fails, and what needs it, leaves other branches alone.
 
         Nodes with several consumers are kept in memory or on disk until the
-        last sink has run. Row counts are what the sinks' jobs pulled through.
+        last sink has run. Row counts are what the sinks' jobs pulled through. A
+        sink's job that fails in the SQL of a node before it counts against that
+        node; errors without a place in any SQL count against the sink.
         """
         frames: dict[str, DataFrame] = {}
         bad: dict[str, str] = {}
@@ -256,7 +287,11 @@ class Pipeline:
                         sink(df, n.config)
                     reports[i].elapsed_ms = round((time.monotonic() - began) * 1000)
             except Exception as e:
-                bad[i], reports[i].status, reports[i].error = "failed", "failed", (str(e).splitlines() or [type(e).__name__])[0][:500]
+                at_fault = self._at_fault(i, e)
+                bad[at_fault], reports[at_fault].status, reports[at_fault].error = "failed", "failed", (str(e).splitlines() or [type(e).__name__])[0][:500]
+                for x in self.order[: at + 1]:  # a sink's job failed in a node before it: what lies between made nothing
+                    if x in reports and reports[x].status == "succeeded" and x != at_fault and self._doomed(x, bad) and (x == i or self.nodes[x].type != "sink"):
+                        bad[x], reports[x].status, reports[x].error = "skipped", "skipped", f"{at_fault} failed"
         for df in kept:
             df.unpersist()
         self._tell(reports, bad, watch)
@@ -267,10 +302,11 @@ class Pipeline:
         for i in reversed(self.order):  # what feeds a node that ran has run
             if i in ran:
                 ran |= {e.source for e in self.edges if e.target == i}
+        read = {x for i in bad if bad[i] == "failed" and self.nodes[i].type == "transform" for x in self._above(i)}  # until it failed
         for i, r in reports.items():
             if i in watch and i in ran:
                 r.rows_out = watch[i].get.get("rows", 0)
-            elif i in watch and r.status == "succeeded":
+            elif i in watch and r.status == "succeeded" and i not in read:
                 r.status, r.error = "skipped", "no sink of it ran"
         for e in self.edges:
             if reports[e.source].rows_out is not None:

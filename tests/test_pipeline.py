@@ -111,6 +111,28 @@ def test_fan_out_and_failure_isolation(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/c").count() == 10
 
 
+def test_a_failure_is_the_nodes_that_made_it(spark, tmp_path):
+    """A division by zero in the job of a sink: the derive failed, what comes after it was skipped, what it read succeeded."""
+    spec = {
+        "nodes": nodes(
+            G,
+            ("half", "transform", "derive", {"columns": {"h": "id / 2"}}),
+            ("bad", "transform", "derive", {"columns": {"ok": "id + 1", "z": "10 / (id - 5)"}}),
+            ("kept", "transform", "filter", {"where": "z > 0"}),
+            ("s1", "sink", "parquet", {"path": f"{tmp_path}/a"}),
+            ("s2", "sink", "parquet", {"path": f"{tmp_path}/b"}),
+            ("q", "transform", "sql", {"query": "SELECT CAST(label AS INT) AS n FROM half"}),
+            ("s3", "sink", "parquet", {"path": f"{tmp_path}/c"}),
+            ("s4", "sink", "parquet", {"path": f"{tmp_path}/d"}),
+        ),
+        "edges": edges(("g", "half"), ("half", "bad"), ("bad", "kept"), ("kept", "s1"), ("half", "s2"), ("half", "q"), ("q", "s3"), ("bad", "s4")),
+    }
+    report = {n.node: n for n in Pipeline(spec).run(spark).nodes}
+    status = {i: n.status for i, n in report.items()}
+    assert status == {"g": "succeeded", "half": "succeeded", "bad": "failed", "kept": "skipped", "s1": "skipped", "s2": "succeeded", "q": "failed", "s3": "skipped", "s4": "skipped"}
+    assert "DIVIDE_BY_ZERO" in report["bad"].error and report["s4"].error == "bad failed" and report["s1"].error == "kept skipped" and "CAST_INVALID_INPUT" in report["q"].error
+
+
 def test_plugins(spark, rows):
     r = standard_registry()
     with pytest.raises(ConfigError, match="exists already"):
