@@ -197,7 +197,7 @@ class _Pace(StatefulProcessor):
         for e in pd.concat(list(rows)).sort_values(["at", "run_id", "seq"]).itertuples():
             run = (e.run_id,)
             if e.kind == "run_started":
-                typical = median(took) if len(took) >= self.least else None
+                typical = float(median(took)) if len(took) >= self.least else None
                 self.open.updateValue(run, (now, typical, False))
                 if typical is not None:
                     self.handle.registerTimer(now + int(self.factor * typical) + 1)

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import os
 import time
 from statistics import median
 
@@ -62,6 +63,7 @@ def test_slow_over_many_buckets(spark, data, bucket):
     assert {(r.run_id, float(r.typical_ms)) for r in found.collect()} == expected
 
 
+TOLD = "pipeline string, run_id string, elapsed_ms long, typical_ms double, running boolean"
 PACE = "pipeline string, run_id string, seq long, at long, kind string, elapsed_ms long, succeeded boolean"
 
 
@@ -77,19 +79,27 @@ def test_slow_in_a_stream(spark, tmp_path, rows):
     ended = [e for i, (run, p, at, status, ms) in enumerate(runs) for e in ((p, run, 2 * i, 10 * at, "run_started", None, None), (p, run, 2 * i + 1, 10 * at + 5, "run_finished", ms, status == "succeeded"))]
     going = [("p", "now", 900, 9000, "run_started", None, None), ("new", "first", 901, 9001, "run_started", None, None), (None, "x", 902, 9002, "run_started", None, None)]
     spark.createDataFrame(ended, PACE).coalesce(1).write.mode("append").json(folder)
+    batch = ev.slow(spark.createDataFrame(runs, RUNS), 2.0)
+    told = len(batch.collect())
+
+    def wait(which, n):
+        """Timers keep the query busy, so its end is no sign; rows are."""
+        until = time.monotonic() + 60
+        while time.monotonic() < until:
+            if os.path.exists(f"{out}/_spark_metadata") and spark.read.schema(TOLD).parquet(out).filter(which).count() >= n:
+                return
+            time.sleep(0.5)
+
     q = paced(spark, folder, f"{tmp_path}/c", out)
     try:
-        q.processAllAvailable()
+        wait("not running", told)
         spark.createDataFrame(going, PACE).coalesce(1).write.mode("append").json(folder)
-        until = time.monotonic() + 60
-        while time.monotonic() < until and not spark.read.parquet(out).filter("running").count():
-            time.sleep(0.5)
+        wait("running", 1)
         spark.createDataFrame([("p", "now", 903, 9900, "run_finished", 9999, True)], PACE).coalesce(1).write.mode("append").json(folder)
-        q.processAllAvailable()
+        time.sleep(4)
     finally:
         q.stop()
-    found = spark.read.parquet(out)
-    batch = ev.slow(spark.createDataFrame(runs, RUNS), 2.0)
+    found = spark.read.schema(TOLD).parquet(out)
     assert rows(found.filter("not running").select("run_id", "elapsed_ms", F.col("typical_ms").cast("double"))) == rows(batch.select("run_id", "elapsed_ms", F.col("typical_ms").cast("double"))) != []
     now = found.filter("running").collect()
     assert [(r.run_id, r.typical_ms) for r in now] == [("now", 400.0)] and now[0].elapsed_ms > 800
