@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..errors import ConfigError
 from ..functions.dialect import at_micros
+from .keysets import of_keys, written
 
 
 def run_history(runs: DataFrame, run_versions: DataFrame) -> DataFrame:
@@ -131,6 +132,22 @@ def dedup_by_hash(df: DataFrame, column: str, first_by: str) -> DataFrame:
     return texts.join(counted, ["hash", "first"]).select("hash", "text", "first", "copies")
 
 
+def new_texts(store: DataFrame, df: DataFrame, column: str, first_by: str) -> DataFrame:
+    """As ``dedup_by_hash``, of the texts whose hash ``store`` (hash, ..) does not have: what an insert-or-ignore adds.
+
+    Only hashes are compared. The store is searched for the hashes that came and is
+    not shuffled while those are few; a text is handed on only if it is new, so a
+    second load of the same texts moves none. Null texts add nothing; neither does
+    an empty table; an empty store takes every text.
+    """
+    hashed = df.filter(F.col(column).isNotNull()).select(F.col(first_by).alias("first"), F.sha2(column, 256).alias("hash"), F.col(column).alias("text"))
+    came = written(hashed.groupBy("hash").agg(F.min("first").alias("first"), F.count("*").alias("copies")), "came")
+    known = written(of_keys(store.select("hash"), came, ["hash"]).distinct(), "known")
+    fresh = written(of_keys(came, known, ["hash"], "left_anti"), "fresh")
+    texts = of_keys(hashed, fresh, ["hash", "first"], nulls=True).dropDuplicates(["hash", "first"])
+    return texts.join(fresh.select("hash", "copies"), "hash").select("hash", "text", "first", "copies")
+
+
 def by_prefix(df: DataFrame, column: str, prefix: str) -> DataFrame:
     """The rows of the only value that begins with ``prefix``; several values or none are an error."""
     found = df.filter(F.startswith(F.col(column), F.lit(prefix)))

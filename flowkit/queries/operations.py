@@ -197,6 +197,13 @@ def hist_upsert(spark, sf):
     return history.upsert(old, new, ["run_id"])
 
 
+@query("dedup_into_store", "SELECT sha256(text) AS hash, min(doc_id) AS first, count(*) AS copies FROM documents WHERE text IS NOT NULL AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 10 <> 3 AND text IS NOT NULL) GROUP BY ALL")
+def dedup_into_store(spark, sf):
+    d = table(spark, sf, "documents")
+    store = history.dedup_by_hash(d.filter("doc_id % 10 <> 3"), "text", "doc_id")
+    return history.new_texts(store, d, "text", "doc_id").select("hash", "first", "copies")
+
+
 @query("hist_rows_written", "SELECT run_id, CAST(sum(CASE WHEN kind = 'sink' AND status = 'succeeded' THEN rows_in ELSE 0 END) AS BIGINT) AS rows_written, count(*) FILTER (WHERE status = 'failed') AS failed_nodes FROM h_nodes GROUP BY run_id")
 def hist_rows_written(spark, sf):
     return history.rows_written(nodes(spark, sf))
@@ -296,6 +303,16 @@ def diff_keyed(spark, sf):
     return diff.keyed(before(spark, sf), after(spark, sf), "c_custkey")
 
 
+DIFF_TEXTS = "SELECT coalesce(b.doc_id, a.doc_id) AS key, CASE WHEN b.doc_id IS NULL THEN 'added' WHEN a.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change, CASE WHEN b.doc_id = a.doc_id THEN 'text' END AS field, CASE WHEN b.doc_id = a.doc_id THEN b.text END AS before, CASE WHEN b.doc_id = a.doc_id THEN a.text END AS after FROM documents b FULL JOIN (SELECT CASE WHEN doc_id % 1000 = 7 THEN -doc_id ELSE doc_id END AS doc_id, CASE WHEN doc_id % 1000 = 13 THEN text || ' again' ELSE text END AS text FROM documents) a ON a.doc_id = b.doc_id WHERE b.doc_id IS NULL OR a.doc_id IS NULL OR a.text IS DISTINCT FROM b.text"
+
+
+@query("diff_keyed_digests", DIFF_TEXTS)
+def diff_keyed_digests(spark, sf):
+    old = table(spark, sf, "documents")
+    new = old.withColumns({"doc_id": F.expr("CASE WHEN doc_id % 1000 = 7 THEN -doc_id ELSE doc_id END"), "text": F.expr("CASE WHEN doc_id % 1000 = 13 THEN text || ' again' ELSE text END")})
+    return diff.keyed_by_digests(old, new, "doc_id")
+
+
 @query("diff_renames", "SELECT b.c_custkey AS old_key, a.c_custkey AS new_key FROM d_before b JOIN d_after a ON a.c_custkey = b.c_custkey + 1000000 AND a.c_mktsegment = b.c_mktsegment AND a.c_acctbal = b.c_acctbal")
 def diff_renames(spark, sf):
     return diff.renames(before(spark, sf), after(spark, sf), "c_custkey")
