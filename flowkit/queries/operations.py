@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import micros
 from ..operators import diff, history, lineage
+from ..sinks import merge
 from ..streaming import events as ev
-from .common import Query, table
+from .common import Query, scratch, table
 
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -204,6 +205,29 @@ def dedup_into_store(spark, sf):
     return history.new_texts(store, d, "text", "doc_id").select("hash", "first", "copies")
 
 
+def stored(spark, sf):
+    """The documents as a new folder of files by ranges of doc_id; its path, and the largest doc_id."""
+    d, path = table(spark, sf, "documents").select("doc_id", "lang", "source", "text"), scratch(spark, "stored")
+    d.repartitionByRange("doc_id").write.parquet(path)
+    return path, d.agg(F.max("doc_id")).first()[0]
+
+
+@query("upsert_files", "SELECT doc_id, lang, CASE WHEN doc_id * 50 < m THEN 'new' ELSE source END AS source, length(text) AS n_chars FROM documents, (SELECT max(doc_id) AS m FROM documents) UNION ALL SELECT -1, 'none', 'new', 0")
+def upsert_files(spark, sf):
+    path, most = stored(spark, sf)
+    new = table(spark, sf, "documents").filter(F.col("doc_id") * 50 < most).select("doc_id", "lang", F.lit("new").alias("source"), "text")
+    more = spark.createDataFrame([(-1, "none", "new", "")], "doc_id long, lang string, source string, text string")
+    merge.upsert(new.unionByName(more), path, ["doc_id"])
+    return spark.read.parquet(path).select("doc_id", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("prune_files", "SELECT doc_id, lang, length(text) AS n_chars FROM documents WHERE doc_id * 10 >= (SELECT max(doc_id) FROM documents)")
+def prune_files(spark, sf):
+    path, most = stored(spark, sf)
+    merge.keep(spark, path, F.col("doc_id") * 10 >= most)
+    return spark.read.parquet(path).select("doc_id", "lang", F.length("text").cast("long").alias("n_chars"))
+
+
 @query("hist_rows_written", "SELECT run_id, CAST(sum(CASE WHEN kind = 'sink' AND status = 'succeeded' THEN rows_in ELSE 0 END) AS BIGINT) AS rows_written, count(*) FILTER (WHERE status = 'failed') AS failed_nodes FROM h_nodes GROUP BY run_id")
 def hist_rows_written(spark, sf):
     return history.rows_written(nodes(spark, sf))
