@@ -18,13 +18,14 @@ FAST = {"backoff": 0.01}
 @pytest.fixture
 def server():
     """A server whose ``answer`` gives (status, object) for each request; requests are recorded."""
-    seen = []
+    seen, keys = [], []
 
     class Handler(BaseHTTPRequestHandler):
         def do_GET(self):
             size = int(self.headers.get("Content-Length") or 0)
             q = {k: v[0] for k, v in parse_qs(urlsplit(self.path).query).items()}
             seen.append((q, self.rfile.read(size)))
+            keys.append(self.headers.get("Idempotency-Key"))
             status, value = httpd.answer(q, len(seen))
             body = json.dumps(value).encode()
             self.send_response(status)
@@ -39,7 +40,7 @@ def server():
 
     httpd = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
     threading.Thread(target=httpd.serve_forever, daemon=True).start()
-    httpd.seen, httpd.url = seen, f"http://127.0.0.1:{httpd.server_port}/x"
+    httpd.seen, httpd.keys, httpd.url = seen, keys, f"http://127.0.0.1:{httpd.server_port}/x"
     yield httpd
     httpd.shutdown()
 
@@ -136,3 +137,25 @@ def test_post_wrapped_and_lines(spark, server):
     assert len(server.seen[1][1].splitlines()) == 2
     with pytest.raises(ConfigError):
         post(two, server.url, form="ndjson", wrap_in="x")
+
+
+def test_a_write_that_fails_half_way_leaves_each_chunk_once(spark, server):
+    """Repeated under its id, a write sends the keys it sent before: a receiver that heeds them has every row once."""
+    kept = {}
+
+    def take(q, n):
+        if n == 3:
+            return 400, {}
+        kept.setdefault(server.keys[n - 1], server.seen[n - 1][1])
+        return 200, {}
+
+    server.answer = take
+    df = spark.range(10).selectExpr("id % 2 AS v").coalesce(1)  # chunks of equal content
+    with pytest.raises(Exception, match="400"):
+        post(df, server.url, rows_per_request=2, write_id="w1")
+    assert len(kept) == 2
+    post(df, server.url, rows_per_request=2, write_id="w1")
+    assert len(server.seen) == 3 + 5 and len(kept) == 5 and None not in kept
+    assert sum(len(json.loads(b)) for b in kept.values()) == 10
+    post(df, server.url, rows_per_request=2)
+    assert len(kept) == 10  # another write has keys of its own
