@@ -131,3 +131,8 @@ def test_csv_roundtrip_writes_a_file_per_partition(spark, tmp_path, monkeypatch)
     assert len(list((tmp_path / "out").rglob("part-*.csv"))) > 1
     sinks.csv(parts, f"{tmp_path}/one", single_file=True)
     assert len(list((tmp_path / "one").rglob("part-*.csv"))) == 1
+
+
+def test_recursion_gives_more_than_a_million_rows(spark):
+    q = "WITH RECURSIVE up(place) AS (SELECT id FROM input UNION ALL SELECT place + 600000 FROM up WHERE place < 600000) SELECT count(*) AS n FROM up"
+    assert basic.sql({"input": spark.range(600_000)}, q).first().n == 1_200_000
