@@ -224,3 +224,10 @@ def test_json_values_and_chunks(spark):
     chunks = jsonrecords.json_chunks(spark.range(5), 2, ["id"], wrap_in="rows").orderBy("chunk").collect()
     assert [c.n_rows for c in chunks] == [2, 2, 1] and json.loads(chunks[2].body) == {"rows": [{"id": 4}]}
     assert jsonrecords.json_chunks(spark.range(3), 5, ["id"], form="ndjson").first().body == '{"id":0}\n{"id":1}\n{"id":2}\n'
+
+
+def test_a_known_renaming_pairs_rows_of_one_body_by_their_keys(spark, rows):
+    before = spark.createDataFrame([(10, "a"), (11, "a"), (22, "a"), (33, "b"), (44, None)], "id long, s string")
+    after = spark.createDataFrame([(1011, "a"), (1022, "a"), (1033, "B"), (1044, None), (22, "a")], "id long, s string")
+    assert rows(diff.renames(before, after, "id")) == [(10, 1011), (11, 1022), (44, 1044)]
+    assert rows(diff.renames(before, after, "id", lambda old: old + 1000)) == [(11, 1011), (22, 1022)]
