@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType, StructField, StructType
@@ -35,13 +36,12 @@ def csv(spark: SparkSession, path: str, has_header: bool = True, delimiter: str
     if broken is None:
         options["header"] = str(has_header).lower()
         if infer_rows:
-            head = spark.read.text(path).limit(infer_rows + has_header)  # lines of the first file, in order
-            sample = spark.read.options(**options).option("inferSchema", "true").csv(head.rdd.map(lambda r: r[0]))
+            sample = spark.read.options(**options).option("inferSchema", "true").csv(_first(spark.read.text(path), infer_rows + has_header))
         else:
             sample = spark.read.options(**options).option("inferSchema", "true").csv(path)
     else:
-        head = broken.limit(infer_rows) if infer_rows else broken
-        sample = spark.read.options(**options).option("inferSchema", "true").csv(head.rdd.map(lambda r: r[0]))
+        head = _first(broken, infer_rows) if infer_rows else broken.rdd.map(lambda r: r[0])
+        sample = spark.read.options(**options).option("inferSchema", "true").csv(head)
         if has_header:
             names = _distinct(header(spark, path, delimiter))
             sample = sample.toDF(*names) if sample.columns else spark.createDataFrame([], StructType([StructField(n, StringType()) for n in names]))
@@ -58,6 +58,11 @@ def csv(spark: SparkSession, path: str, has_header: bool = True, delimiter: str
     return rows.select(*(_typed(c, f.dataType).alias(f.name) for c, f in zip(texts.names, schema, strict=True)))
 
 
+def _first(lines: DataFrame, n: int) -> RDD[str]:
+    """The first ``n`` lines in the order of their splits. The driver holds them: a limit within a plan shuffles, and takes lines of any split first."""
+    return lines.sparkSession.sparkContext.parallelize([r[0] for r in lines.take(n)], 1)
+
+
 #: Stands for null where a text can not be empty and null at once; no field is this.
 _NO_TEXT = "\x00\x01null"
 

@@ -139,3 +139,19 @@ def test_csv_without_records(spark, tmp_path):
     (tmp_path / "x.csv").write_text('a,"b\nc"\n')
     df = files.csv(spark, f"{tmp_path}/x.csv")
     assert df.count() == 0 and len(df.columns) == 2
+
+
+def test_types_come_from_the_first_lines_without_a_shuffle(spark, tmp_path):
+    # a limit that shuffles takes lines of any split first, which then pass for the header
+    (tmp_path / "x.csv").write_text("a;b\n" + "".join(f"{i};{i / 4}\n" for i in range(4000)))
+    sc, most = spark.sparkContext, spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        sc.setJobGroup("first lines", "")
+        df = files.csv(spark, f"{tmp_path}/x.csv", delimiter=";", line_breaks=False)
+        stages = [len(sc.statusTracker().getJobInfo(j).stageIds) for j in sc.statusTracker().getJobIdsForGroup("first lines")]
+        assert stages and set(stages) == {1}
+        assert df.dtypes == [("a", "bigint"), ("b", "double")] and df.count() == 4000
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
