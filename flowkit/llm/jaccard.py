@@ -384,6 +384,10 @@ class JaccardJoin:
         found = self.docs.join(small_keys(ids), "doc", "left_semi")
         return self.kept(found.select("doc", set_facts(self.n)("text").alias("f")).select("doc", "f.*"), "sets")
 
+    def those(self, facts: DataFrame, ids: DataFrame) -> DataFrame:
+        """Facts of these documents alone, so that no other set is shuffled for a join with them."""
+        return facts.join(small_keys(self.kept(ids.distinct(), "ids")), "doc", "left_semi")
+
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are linked: first by their sketches, then by their sets."""
         pairs = self.kept(pairs.distinct(), "pairs")
@@ -396,6 +400,7 @@ class JaccardJoin:
 
         left = joined(pairs, "size", "sketch").filter(plausible(self.num, self.den)("size_a", "sketch_a", "size_b", "sketch_b"))
         left = self.kept(left.select("a", "b"), "pairs")
+        facts = self.those(facts, left.select(F.explode(F.array("a", "b")).alias("doc")))
         return joined(left, "set").filter(similar(self.num, self.den)("set_a", "set_b")).select("a", "b")
 
     def classes(self) -> DataFrame:
@@ -420,17 +425,23 @@ class JaccardJoin:
         rest = [c for c in members.columns if c != "sig"]
         return placed.select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", *rest)
 
+    def unlike(self, groups: DataFrame) -> DataFrame:
+        """``groups`` (sig, doc, ..) without those that have the same members as another: these are compared once."""
+        alike = groups.groupBy("sig").agg(F.count("*").alias("k"), *(F.bit_xor(F.xxhash64("doc", F.lit(i))).alias(f"h{i}") for i in (0, 1)))
+        return groups.join(alike.groupBy("k", "h0", "h1").agg(F.min("sig").alias("sig")).select("sig"), "sig")
+
     def completed(self, groups: DataFrame) -> DataFrame:
         """Links (a, b) that join what can be joined of these groups (sig, doc, component) of several components."""
+        # sketches and sets join rows that have their blocks, and are shuffled to these alone
+        groups = self.kept(self.unlike(groups), "unlike")
         facts = self.facts(self.kept(groups.select("doc").distinct(), "ids"))
         by_block = ("sig", "x", "y")
-        rows = self.blocks(groups.join(facts.select("doc", "size", "sketch"), "doc").withColumn("one", F.lit(1)), "one", BLOCK).drop("one")
+        rows = self.blocks(groups.withColumn("one", F.lit(1)), "one", BLOCK).drop("one").join(facts.select("doc", "size", "sketch"), "doc")
+        rows = rows.select(*by_block, "block", "doc", "component", "size", "sketch")
         left = rows.repartition(*by_block).sortWithinPartitions(*by_block).mapInArrow(_hopeful(self.num, self.den), "sig long, doc long, component long")
-        left = self.kept(left.distinct(), "hopeful")
-        # groups of the same members are compared once
-        alike = left.groupBy("sig").agg(F.count("*").alias("k"), *(F.bit_xor(F.xxhash64("doc", F.lit(i))).alias(f"h{i}") for i in (0, 1)))
-        left = left.join(alike.groupBy("k", "h0", "h1").agg(F.min("sig").alias("sig")).select("sig"), "sig")
-        rows = self.blocks(left.join(facts.select("doc", "set", F.octet_length("set").alias("bytes")), "doc"), "bytes", BLOCK_BYTES)
+        left = self.kept(self.unlike(self.kept(left.distinct(), "hopeful")), "unlike")
+        facts = self.those(facts, left.select("doc"))
+        rows = self.blocks(left.join(facts.select("doc", (F.col("size") * 8).alias("bytes")), "doc"), "bytes", BLOCK_BYTES).drop("bytes").join(facts.select("doc", "set"), "doc")
         rows = rows.select(*by_block, "block", "doc", "component", "set")
         return rows.repartition(*by_block).sortWithinPartitions(*by_block).mapInArrow(_uniting(self.num, self.den), "a long, b long").distinct()
 
