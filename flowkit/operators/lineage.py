@@ -19,8 +19,10 @@ KEYS = ["pipeline", "node", "column"]
 FROM = ["pipeline", "from_node", "from_column"]
 #: Steps of a walk whose results are read one by one before they are put together.
 STEPS = 8
-#: Rows of a file of chains.
-FILE_ROWS = 250_000
+#: Rows of either side of a join over chains that go to one task.
+TASK_ROWS = 250_000
+#: Where a chain, or a hop, ends: at a column with no hop in, with one, or with several.
+ORIGIN, ONWARD, BRANCHING = 1, 0, 2
 
 
 class _Folder:
@@ -29,43 +31,64 @@ class _Folder:
     def __init__(self, spark):
         self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/lineage-{uuid.uuid4().hex[:12]}", 0
 
-    def write(self, df: DataFrame, number: Column | None = None, rows: int | None = None) -> tuple[DataFrame, int]:
-        """``rows``: how many at most, if known, so that few make few files."""
+    def write(self, df: DataFrame, number: Column | None = None) -> tuple[DataFrame, int]:
         self.n += 1
-        df = df if rows is None else df.coalesce(rows // FILE_ROWS + 1)
         seen = Observation()
         number = F.count(F.lit(1)) if number is None else F.coalesce(F.sum(number), F.lit(0))
         df.observe(seen, number.alias("number")).write.parquet(f"{self.path}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}"), seen.get["number"]
 
 
-def _chained(hops: DataFrame, values: dict, folder: _Folder, cyclic: bool = False) -> tuple[DataFrame, DataFrame]:
+def _parts(rows: int) -> int:
+    return rows // TASK_ROWS + 1
+
+
+def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str, parts: int) -> DataFrame:
+    """A join dealt out to ``parts`` tasks, so that each holds some TASK_ROWS of either side, whatever their bytes say."""
+    return left.repartition(parts, *on).join(right.repartition(parts, *on).hint("merge"), on, how)
+
+
+def _from(columns: DataFrame, *others: Column) -> DataFrame:
+    """Columns (KEYS) as those that a hop comes from."""
+    return columns.select("pipeline", F.col("node").alias("from_node"), F.col("column").alias("from_column"), *others)
+
+
+def _chained(hops: DataFrame, values: dict, folder: _Folder, parts: int, cyclic: bool = False) -> tuple[DataFrame, DataFrame]:
     """Columns with one hop in, each with the end of its chain; and the hops of the others, from such ends.
 
-    (KEYS, from_node, from_column, values): a chain goes up from a column while
-    there is one hop in, to a column with none or several. Each round doubles
-    the hops that a row covers, so a chain of n takes the logarithm of n rounds;
-    only rows that moved go on. ``values`` says how what two stretches carry is
-    put together. Chains that end in a cycle come from nowhere and are dropped,
-    unless ``cyclic``: they then carry what the whole cycle does.
+    (KEYS, from_node, from_column, values, end): a chain goes up from a column
+    while there is one hop in, to a column with none (``end`` ORIGIN) or several
+    (BRANCHING). Each round doubles the hops that a row covers, so a chain of n
+    takes the logarithm of n rounds. Only rows that are not at an end yet
+    (ONWARD) go on, and only they are joined: rows that have met at one origin
+    never come together in a task. ``values`` says how what two stretches carry
+    is put together. Chains that end in a cycle come from nowhere and are
+    dropped, unless ``cyclic``: they then carry what the whole cycle does.
     """
-    carried = list(values)
-    one = F.struct("from_node", "from_column", *carried)
-    ends = hops.groupBy(*KEYS).agg(F.count("*").alias("n"), F.any_value(one).alias("x"))
-    chains, n = folder.write(ends.filter("n = 1").select(*KEYS, "x.*", F.lit(True).alias("moved")))
+    hops = hops.repartition(parts, *KEYS).distinct()
+    several = hops.groupBy(*KEYS).agg((F.count("*") > 1).alias("several"))
+    above = _from(several, F.when(F.col("several"), F.lit(BRANCHING)).otherwise(F.lit(ONWARD)).alias("above"))
+    known = _joined(hops.join(several.hint("merge"), KEYS), above, FROM, "left", parts)
+    known, n = folder.write(known.select(*KEYS, *FROM[1:], *values, F.coalesce("above", F.lit(ORIGIN)).alias("end"), "several"), (~F.col("several") & F.col("end").eqNullSafe(F.lit(ONWARD))).cast("int"))
+    front = known.filter("not several").drop("several")
+    chains, front = front.filter(F.col("end") != ONWARD), front.filter(F.col("end") == ONWARD)
+
+    def further(rows: DataFrame, up: DataFrame, how: str) -> DataFrame:
+        up = _from(up, F.struct(*FROM[1:], *values, "end").alias("up"))
+        here = _joined(rows, up, FROM, how, parts)
+        moved = [F.coalesce(F.col(f"up.{c}"), c).alias(c) for c in FROM[1:]]
+        carried = [F.when(F.col("up").isNull(), F.col(c)).otherwise(put(F.col(c), F.col(f"up.{c}"))).alias(c) for c, put in values.items()]
+        return here.select(*KEYS, *moved, *carried, F.coalesce("up.end", "end").alias("end"))
+
     for _ in range(n.bit_length() + 1):
-        up = chains.select("pipeline", F.col("node").alias("from_node"), F.col("column").alias("from_column"), F.struct("from_node", "from_column", *carried).alias("up"))
-        further = chains.filter("moved").join(up, FROM, "left")
-        further = further.select(*KEYS, *(F.coalesce(F.col(f"up.{c}"), c).alias(c) for c in FROM[1:]), *(F.when(F.col("up").isNull(), F.col(c)).otherwise(put(F.col(c), F.col(f"up.{c}"))).alias(c) for c, put in values.items()), F.col("up").isNotNull().alias("moved"))
-        chains, moved = folder.write(further.union(chains.filter("not moved")), F.col("moved").cast("int"), n)
-        if not moved:
+        if not n:
             break
-    chains = (chains if cyclic else chains.filter("not moved")).drop("moved")
-    branching = hops.join(ends.filter("n > 1").select(*KEYS), KEYS, "left_semi").select(*KEYS, *FROM[1:], *carried)
-    up = chains.select("pipeline", F.col("node").alias("from_node"), F.col("column").alias("from_column"), F.struct("from_node", "from_column", *carried).alias("up"))
-    branching = branching.join(up, FROM, "left")
-    branching = branching.select(*KEYS, *(F.coalesce(F.col(f"up.{c}"), c).alias(c) for c in FROM[1:]), *(F.when(F.col("up").isNull(), F.col(c)).otherwise(put(F.col(c), F.col(f"up.{c}"))).alias(c) for c, put in values.items()))
-    return chains, folder.write(branching)[0]
+        moved, n = folder.write(further(front, chains.union(front), "inner"), (F.col("end") == ONWARD).cast("int"))
+        chains, front = chains.union(moved.filter(F.col("end") != ONWARD)), moved.filter(F.col("end") == ONWARD)
+    chains = chains.union(front) if cyclic else chains
+    branching = known.filter("several").drop("several")
+    on = branching.filter(F.col("end") == ONWARD)
+    return chains, folder.write(branching.filter(F.col("end") != ONWARD).union(further(on, chains, "left")))[0]
 
 
 def _walk(first: DataFrame, hop: DataFrame, key: list[str], stepped: dict[str, Column], best: Column, better: str, folder: _Folder) -> DataFrame:
@@ -97,7 +120,7 @@ def _walk(first: DataFrame, hop: DataFrame, key: list[str], stepped: dict[str, C
 
 
 def _hops(edges: DataFrame) -> DataFrame:
-    return edges.select(*KEYS, F.col("in_node").alias("from_node"), F.col("in_column").alias("from_column"), (F.col("edge") == "indirect").cast("int").alias("k"), F.col("derivation").alias("d")).distinct()
+    return edges.select(*KEYS, F.col("in_node").alias("from_node"), F.col("in_column").alias("from_column"), (F.col("edge") == "indirect").cast("int").alias("k"), F.col("derivation").alias("d"))
 
 
 def _derived(hops: DataFrame, origin: Column | None = None) -> DataFrame:
@@ -109,13 +132,10 @@ def _derived(hops: DataFrame, origin: Column | None = None) -> DataFrame:
     are never made.
     """
     folder = _Folder(hops.sparkSession)
-    chains, branching = _chained(hops, {"k": F.greatest, "d": F.greatest}, folder)
-    several = branching.select(*KEYS).distinct()
-    inner = several.select("pipeline", F.col("node").alias("from_node"), F.col("column").alias("from_column"))
-    # a chain that a cycle feeds was dropped; what is left of its columns are no origins
-    made = hops.select(*KEYS).distinct().select("pipeline", F.col("node").alias("from_node"), F.col("column").alias("from_column"))
-    first = branching.join(made, FROM, "left_anti").withColumns({"in_node": F.col("from_node"), "in_column": F.col("from_column")})
-    ended = chains.join(made, FROM, "left_anti").select(*KEYS, F.col("from_node").alias("in_node"), F.col("from_column").alias("in_column"), F.col("k").alias("kind"), F.col("d").alias("derivation"))
+    hops, n = folder.write(hops)
+    chains, branching = _chained(hops, {"k": F.greatest, "d": F.greatest}, folder, _parts(n))
+    first = branching.filter(F.col("end") == ORIGIN).withColumns({"in_node": F.col("from_node"), "in_column": F.col("from_column")})
+    ended = chains.filter(F.col("end") == ORIGIN).select(*KEYS, F.col("from_node").alias("in_node"), F.col("from_column").alias("in_column"), F.col("k").alias("kind"), F.col("d").alias("derivation"))
     if origin is not None:
         first, ended = first.filter(origin), ended.filter(origin)
     if branching.isEmpty():
@@ -124,7 +144,7 @@ def _derived(hops: DataFrame, origin: Column | None = None) -> DataFrame:
     stepped = {"in_node": F.col("in_node"), "in_column": F.col("in_column"), "kind": F.greatest("kind", "k"), "value": F.greatest("value", "d")}
     walked = _walk(start, branching, [*KEYS, "in_node", "in_column", "kind"], stepped, F.max("value"), "value > was", folder)
     walked = folder.write(walked.withColumnRenamed("value", "derivation"))[0]
-    below = chains.join(inner, FROM, "left_semi").join(walked.withColumnsRenamed({"node": "from_node", "column": "from_column"}), FROM)
+    below = chains.filter(F.col("end") == BRANCHING).join(walked.withColumnsRenamed({"node": "from_node", "column": "from_column"}), FROM)
     below = below.select(*KEYS, "in_node", "in_column", F.greatest("kind", "k").alias("kind"), F.greatest("derivation", "d").alias("derivation"))
     return ended.union(walked.select(ended.columns)).union(below)
 
@@ -179,16 +199,18 @@ def impact(edges: DataFrame, in_node, in_column) -> DataFrame:
 def unknown_at(edges: DataFrame) -> DataFrame:
     """(pipeline, node, column, unknown_at): the first node, by name, at which a column's chain is cut."""
     folder = _Folder(edges.sparkSession)
-    cuts = edges.filter("derivation = 3").select(*KEYS, F.col("node").alias("value")).distinct()
-    hops = edges.filter("edge = 'direct'").select(*KEYS, F.col("in_node").alias("from_node"), F.col("in_column").alias("from_column")).distinct()
-    # a hop carries the cut of the column that it leads to; the end of a chain has its own
-    chains, branching = _chained(hops.join(cuts, KEYS, "left"), {"value": F.least}, folder, cyclic=True)
-    met = branching.select(*KEYS, "value").union(cuts).filter("value is not null")
-    tops = branching.select("pipeline", F.col("from_node").alias("node"), F.col("from_column").alias("column")).union(branching.select(*KEYS)).distinct()
-    start = met.join(tops, KEYS, "left_semi")
+    edges, n = folder.write(edges.select(*KEYS, F.col("in_node").alias("from_node"), F.col("in_column").alias("from_column"), (F.col("edge") == "direct").alias("direct"), (F.col("derivation") == 3).alias("cut")))
+    parts = _parts(n)
+    cuts = edges.filter("cut").select(*KEYS, F.col("node").alias("value")).repartition(parts, *KEYS).distinct()
+    hops = edges.filter("direct").select(*KEYS, *FROM[1:]).repartition(parts, *KEYS).distinct()
+    # a hop carries the cut of the column that it leads to and of the one that it comes from
+    hops = _joined(hops.join(cuts.hint("merge"), KEYS, "left"), _from(cuts, F.col("value").alias("above")), FROM, "left", parts)
+    hops = hops.select(*KEYS, *FROM[1:], F.least("value", "above").alias("value"))
+    chains, branching = _chained(hops, {"value": F.least}, folder, parts, cyclic=True)
     carried = branching.select(*KEYS, *FROM[1:], F.col("value").alias("d"))
-    walked = _walk(start, carried, KEYS, {"value": F.least("value", "d")}, F.min("value"), "value < was", folder)
-    walked = folder.write(walked.union(cuts.select(walked.columns)).groupBy(*KEYS).agg(F.min("value").alias("value")))[0]
-    above = walked.select("pipeline", F.col("node").alias("from_node"), F.col("column").alias("from_column"), F.col("value").alias("above"))
-    below = chains.join(above, FROM, "left").select(*KEYS, F.least("value", "above").alias("value")).filter("value is not null")
-    return walked.union(below).groupBy(*KEYS).agg(F.min("value").alias("unknown_at"))
+    walked = _walk(branching.select(*KEYS, "value").filter("value is not null"), carried, KEYS, {"value": F.least("value", "d")}, F.min("value"), "value < was", folder)
+    walked = folder.write(walked)[0]
+    above = _from(walked, F.col("value").alias("above"))
+    below = chains.filter(F.col("end") == BRANCHING).join(above, FROM, "left").select(*KEYS, F.least("value", "above").alias("value"))
+    every = cuts.union(walked.select(cuts.columns)).union(chains.filter(F.col("end") != BRANCHING).select(cuts.columns)).union(below).filter("value is not null")
+    return every.repartition(parts, *KEYS).groupBy(*KEYS).agg(F.min("value").alias("unknown_at"))

@@ -63,6 +63,22 @@ def test_a_chain_of_a_thousand_hops_takes_a_dozen_steps(spark, monkeypatch):
     assert found == {i: ("0", int(i >= 500)) for i in range(1, 1001)} and len(steps) <= 14
 
 
+def test_rows_at_an_origin_go_no_further(spark, monkeypatch):
+    """Else those of a whole tree would meet at its root, in one task."""
+    sizes = []
+    write = lineage._Folder.write
+
+    def counted(self, *a):
+        table, number = write(self, *a)
+        sizes.append(table.count())
+        return table, number
+
+    monkeypatch.setattr(lineage._Folder, "write", counted)
+    edges = spark.createDataFrame([("p", str(i), "c", str(i // 2), "c", 0, "direct") for i in range(2, 256)], EDGES)
+    assert {(r.node, r.in_node) for r in lineage.resolve(edges).collect()} == {(str(i), "1") for i in range(2, 256)}
+    assert sizes == [254, 254, 252, 248, 224, 0]
+
+
 def test_no_edges(spark):
     none = spark.createDataFrame([], EDGES)
     assert not lineage.resolve(none).count() and not lineage.indirect(none).count() and not lineage.unknown_at(none).count() and not lineage.impact(none, "a", "c").count()
